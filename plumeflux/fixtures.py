@@ -149,8 +149,9 @@ class Inputs:
         return (
             self.events.select(F.date_trunc("day", "ts").alias("valid_time"))
             .distinct()
-            .withColumn("lat", F.explode(F.sequence(F.lit(0), F.lit(GRID_NLAT - 1))) + GRID_LAT0)
-            .withColumn("lon", F.explode(F.sequence(F.lit(0), F.lit(GRID_NLON - 1))) + GRID_LON0)
+            .withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(GRID_NLAT - 1))))
+            .withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(GRID_NLON - 1))))
+            .withColumns({"lat": F.col("a") + GRID_LAT0, "lon": F.col("o") + GRID_LON0})
             .select(
                 "valid_time",
                 "lat",
@@ -208,6 +209,8 @@ def with_views(body: str, *names: str) -> str:
     """Prefix ``body`` (a SELECT, or further CTEs after ``WITH``) with the named views."""
     ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n]})" for n in names)
     text = body.strip()
+    if not names:
+        return text
     recursive = text.upper().startswith("WITH RECURSIVE")
     if text.upper().startswith("WITH"):
         rest = text[len("WITH RECURSIVE") if recursive else len("WITH") :]

@@ -74,6 +74,8 @@ def regression(pairs: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int
     """Slope, intercept, r and n per key; fits need at least ``min_n`` pairs."""
     enough = F.count(F.lit(1)) >= min_n
 
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+
     def fit(c: Column) -> Column:
         return F.when(enough, c)
 
@@ -81,7 +83,7 @@ def regression(pairs: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int
         F.count(F.lit(1)).alias("n"),
         fit(F.regr_slope(y, x)).alias("slope"),
         fit(F.regr_intercept(y, x)).alias("intercept"),
-        fit(F.corr(y, x)).alias("r"),
+        fit(F.try_divide(F.covar_pop(y, x), F.nullif(spread, F.lit(0.0)))).alias("r"),
     )
 
 

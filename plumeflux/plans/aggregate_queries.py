@@ -118,9 +118,9 @@ def d10(t: Inputs) -> DataFrame:
 
 @query(
     "d11_regression",
-    """SELECT facility_id, count(*) AS n, round(CASE WHEN count(*)>=3 THEN regr_slope(flux, nobs) END,6) AS slope,
-    round(CASE WHEN count(*)>=3 THEN regr_intercept(flux, nobs) END,6) AS intercept,
-    round(CASE WHEN count(*)>=3 THEN corr(flux, nobs) END,6) AS r FROM fx_flux WHERE nobs>0 GROUP BY 1""",
+    """SELECT facility_id, count(*) AS n, round(CASE WHEN count(*)>=3 AND var_pop(nobs)>0 THEN regr_slope(flux, nobs) END,6) AS slope,
+    round(CASE WHEN count(*)>=3 AND var_pop(nobs)>0 THEN regr_intercept(flux, nobs) END,6) AS intercept,
+    round(CASE WHEN count(*)>=3 AND var_pop(nobs)>0 AND var_pop(flux)>0 THEN corr(flux, nobs) END,6) AS r FROM fx_flux WHERE nobs>0 GROUP BY 1""",
     "fx_flux",
 )
 def d11(t: Inputs) -> DataFrame:
@@ -151,9 +151,9 @@ def d12(t: Inputs) -> DataFrame:
 @query(
     "d13_binned_regression",
     """WITH b(t0,t1) AS (VALUES (0e0,10e0),(10e0,30e0),(20e0,60e0))
-    SELECT facility_id, t0, t1, count(*) AS n, round(CASE WHEN count(*)>=3 THEN regr_slope(flux, nobs) END,6) AS slope,
-    round(CASE WHEN count(*)>=3 THEN regr_intercept(flux, nobs) END,6) AS intercept,
-    round(CASE WHEN count(*)>=3 THEN corr(flux, nobs) END,6) AS r
+    SELECT facility_id, t0, t1, count(*) AS n, round(CASE WHEN count(*)>=3 AND var_pop(nobs)>0 THEN regr_slope(flux, nobs) END,6) AS slope,
+    round(CASE WHEN count(*)>=3 AND var_pop(nobs)>0 THEN regr_intercept(flux, nobs) END,6) AS intercept,
+    round(CASE WHEN count(*)>=3 AND var_pop(nobs)>0 AND var_pop(flux)>0 THEN corr(flux, nobs) END,6) AS r
     FROM fx_flux, b WHERE age_hours*60>=t0 AND age_hours*60<t1 GROUP BY 1,2,3""",
     "fx_flux",
 )
