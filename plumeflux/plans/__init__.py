@@ -1,6 +1,6 @@
 """Composite jobs and the registered queries."""
 
-from plumeflux.plans import aggregate_queries, filter_queries, join_queries, series_queries  # noqa: F401
+from plumeflux.plans import aggregate_queries, filter_queries, fit_queries, join_queries, series_queries  # noqa: F401
 from plumeflux.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

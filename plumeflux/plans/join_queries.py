@@ -123,7 +123,7 @@ def h05(t: Inputs) -> DataFrame:
 @query(
     "c04_mean_within_range",
     f"""WITH {SEGS}, {PAIRS}, m AS (SELECT facility_id, step_id, k, avg(no2) AS v, avg(lon) AS lo, avg(lat) AS la FROM pairs GROUP BY 1,2,3)
-    SELECT facility_id, step_id, count(*) AS n, round(avg(v),8) AS no2, round(avg(la),8) AS lat, round(avg(lo),8) AS lon,
+    SELECT facility_id, step_id, count(*) AS n, round(avg(v),8) AS no2, round(radians(avg(la)),9) AS lat, round(radians(avg(lo)),9) AS lon,
     CAST(sum(k) AS BIGINT) AS sum_k FROM m GROUP BY 1,2 HAVING count(*)>=3""",
     "fx_trajectory fx_pixel fx_scenes",
 )
@@ -132,8 +132,8 @@ def c04(t: Inputs) -> DataFrame:
     return s.groupBy(*KEY, "step_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("no2"), 8).alias("no2"),
-        F.round(F.avg("lat_sampled"), 8).alias("lat"),
-        F.round(F.avg("lon_sampled"), 8).alias("lon"),
+        F.round(F.radians(F.avg("lat_sampled")), 9).alias("lat"),
+        F.round(F.radians(F.avg("lon_sampled")), 9).alias("lon"),
         F.sum("k").alias("sum_k"),
     )
 
