@@ -1,6 +1,13 @@
 """Composite jobs and the registered queries."""
 
-from plumeflux.plans import aggregate_queries, filter_queries, fit_queries, join_queries, series_queries  # noqa: F401
+from plumeflux.plans import (  # noqa: F401
+    aggregate_queries,
+    filter_queries,
+    fit_queries,
+    join_queries,
+    raster_queries,
+    series_queries,
+)
 from plumeflux.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
