@@ -4,6 +4,7 @@ from plumeflux.plans import (  # noqa: F401
     aggregate_queries,
     filter_queries,
     fit_queries,
+    job_queries,
     join_queries,
     raster_queries,
     series_queries,

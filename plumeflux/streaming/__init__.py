@@ -1 +1 @@
-
+"""Resumable and streaming ingest."""
