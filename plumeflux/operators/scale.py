@@ -38,6 +38,15 @@ def salted_lookup(
     return big.withColumn("__salt", salt).join(copies, keys + ["__salt"], how).drop("__salt")
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by ``cols`` into the session's shuffle partitions, without later coalescing.
+
+    For few rows that each cause much work (exploded transects, fits, graph searches): adaptive
+    coalescing would judge them by their bytes and put them into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def scalar_join(big: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate as scalar subqueries."""
     return big.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
