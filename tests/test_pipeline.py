@@ -154,7 +154,8 @@ def fields(spark):
 
 
 SPEC = GridSpec(30.0, 1.0, 12, -100.0, 1.0, 15)
-CFG = replace(FluxConfig(), decay_option="B")
+# the plume covers about a tenth of the scene, so the mask takes the top tenth
+CFG = replace(FluxConfig(), decay_option="B", snr_quantile=0.9)
 
 
 def run(spark, cfg, tilt=0.0, path_tilt=0.0, pixels=None):
