@@ -64,15 +64,19 @@ def usable_pairs(pairs: DataFrame, max_hours: float = 6.0) -> DataFrame:
     return pairs.where("overlap AND n_pts > 0").where(F.abs("dt_min") <= max_hours * 60.0)
 
 
-def prune_granules(extents: DataFrame, facilities: DataFrame, buffer_deg: float, band_deg: float = 1.0) -> DataFrame:
-    """(granule, facility) pairs whose latitude ranges touch, found through shared latitude bands."""
-
+def _latitude_bands(extents: DataFrame, facilities: DataFrame, buffer_deg: float, band_deg: float) -> tuple[DataFrame, DataFrame]:
     def bands(lo: Column, hi: Column) -> Column:
         return F.explode(F.sequence(F.floor(lo / band_deg), F.floor(hi / band_deg)))
 
     lo, hi = F.col("lat") - buffer_deg, F.col("lat") + buffer_deg
     boxes = facilities.select("facility_id", lo.alias("__lo"), hi.alias("__hi"), bands(lo, hi).alias("__band"))
     scenes = extents.select("granule_id", "lat_min", "lat_max", bands(F.col("lat_min"), F.col("lat_max")).alias("__band"))
+    return scenes, boxes
+
+
+def prune_granules(extents: DataFrame, facilities: DataFrame, buffer_deg: float, band_deg: float = 1.0) -> DataFrame:
+    """(granule, facility) pairs whose latitude ranges touch, found through shared latitude bands."""
+    scenes, boxes = _latitude_bands(extents, facilities, buffer_deg, band_deg)
     first_shared = F.greatest(F.floor(F.col("__lo") / band_deg), F.floor(F.col("lat_min") / band_deg))
     return (
         scenes.join(boxes, "__band")
@@ -81,6 +85,13 @@ def prune_granules(extents: DataFrame, facilities: DataFrame, buffer_deg: float,
     )
 
 
+def granules_in_reach(extents: DataFrame, facilities: DataFrame, buffer_deg: float, band_deg: float = 1.0) -> DataFrame:
+    """Granules whose latitude range touches any facility's, without forming the pairs."""
+    scenes, boxes = _latitude_bands(extents, facilities, buffer_deg, band_deg)
+    touch = (scenes["__band"] == boxes["__band"]) & (boxes["__hi"] >= scenes["lat_min"]) & (boxes["__lo"] <= scenes["lat_max"])
+    return scenes.join(boxes, touch, "left_semi").select("granule_id").distinct()
+
+
 def index_rectangles(hits: DataFrame, keys: Sequence[str], i: str = "i", j: str = "j") -> DataFrame:
     """Smallest index rectangle around the hits of each key; end indices are exclusive."""
     return hits.groupBy(*keys).agg(

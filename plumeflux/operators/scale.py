@@ -48,8 +48,10 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def scalar_join(big: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate as scalar subqueries."""
-    return big.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+    """Attach the columns of a one-row aggregate, computed once as a scalar subquery."""
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    with_row = big.withColumn("__row", row)
+    return with_row.select(*big.columns, *[F.col(f"__row.{c}").alias(c) for c in one_row.columns])
 
 
 def value_bucket(v: Column, per_octave: int = 1024) -> Column:

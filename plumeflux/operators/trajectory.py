@@ -126,13 +126,19 @@ def direction_difference(rows: DataFrame, keys: Sequence[str], order: str = "ste
 
 
 def flag_path_outliers(
-    points: DataFrame, keys: Sequence[str], order: str = "step_id", turn_deg: float = 45.0, mad_k: float = 3.0
+    points: DataFrame,
+    keys: Sequence[str],
+    order: str = "step_id",
+    turn_deg: float = 45.0,
+    mad_k: float = 3.0,
+    bounded: bool = False,
 ) -> DataFrame:
     """Adds ``inlier``: false for jump-and-return points and for overlong incoming steps.
 
     ``order`` must be dense (see ``reindex``). The first point of a path is never rejected, so
     no path loses all its points; paths of fewer than three points keep every point. The
     step distances are materialised once because median and deviation need several passes.
+    ``bounded=True`` is for paths of one trajectory's length (a few dozen points).
     """
     near, w = _neighbours(points, keys, order, halo=2)
     plat, plon = F.lag("lat").over(w), F.lag("lon").over(w)
@@ -140,7 +146,7 @@ def flag_path_outliers(
     turn = wrap180(bearing_deg("lat", "lon", nlat, nlon) - bearing_deg(plat, plon, "lat", "lon"))
     near = near.withColumns({"__turn": turn, "__step": haversine_m(plat, plon, "lat", "lon")})
     near = cut_lineage(_core(near.withColumn("__turn_next", F.lead("__turn").over(w))))
-    spread = median_mad(near, keys, "__step").select(*keys, "median", "mad")
+    spread = median_mad(near, keys, "__step", bounded).select(*keys, "median", "mad")
     joined = salted_lookup(near, spread, keys, [order])
     sharp = F.abs("__turn") > turn_deg
     returns = (F.abs("__turn_next") > turn_deg) & (F.signum("__turn") != F.signum("__turn_next"))
