@@ -86,12 +86,12 @@ def order_stats(
     start = F.col("__cum") - F.col("__n")
     wanted = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), (fn(F.col("n")).cast("bigint") - start).alias("off"))
+            F.struct(F.lit(name).alias("__name"), (fn(F.col("n")).cast("bigint") - start).alias("__off"))
             for name, fn in ranks.items()
         ]
     )
-    inside = F.filter(wanted, lambda s: (s["off"] >= 0) & (s["off"] < F.col("__n")))
-    targets = ranked.select(*keys, "__b", "n", F.explode(inside).alias("t")).select(*keys, "__b", "n", "t.*")
+    inside = F.filter(wanted, lambda s: (s["__off"] >= 0) & (s["__off"] < F.col("__n")))
+    targets = ranked.select(*keys, "__b", "n", F.explode(inside).alias("__t")).select(*keys, "__b", "n", "__t.*")
 
     buckets = targets.select(*keys, "__b").distinct()
     hits = rows.join(buckets, keys + ["__b"], "left_semi").groupBy(*keys, "__b", "__v").agg(
@@ -100,12 +100,12 @@ def order_stats(
     in_bucket = Window.partitionBy(*everything, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("__hi", F.sum("__m").over(in_bucket))
     picked = hits.join(targets, keys + ["__b"]).where(
-        (F.col("off") >= F.col("__hi") - F.col("__m")) & (F.col("off") < F.col("__hi"))
+        (F.col("__off") >= F.col("__hi") - F.col("__m")) & (F.col("__off") < F.col("__hi"))
     )
     grouped = picked.groupBy(*keys) if keys else picked.groupBy()
     return grouped.agg(
         F.max("n").alias("n"),
-        *[F.max(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in ranks],
+        *[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in ranks],
     )
 
 
