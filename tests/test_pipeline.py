@@ -173,7 +173,7 @@ def run(spark, cfg, tilt=0.0, path_tilt=0.0, pixels=None):
 
 def test_straight_plume_end_to_end(spark):
     rows, result = run(spark, CFG)
-    first = rows[rows["traj"] == "H"].set_index("step_id").loc[3:18]
+    first = rows[rows["traj"] == "H"].set_index("step_id").sort_index().loc[3:18]
     assert (first["fit_status"] == "ok").all() and (first["qf_gauss_abs"] == 0).all()
     assert first["a3"].abs().max() < 1.0 and (first["a4"] - FWHM).abs().max() < 3.0
     wind = 0.1 * 111190 * np.cos(np.radians(36)) / 900
