@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,20 @@ def local_session(cores: str = "8", app: str = "plumeflux") -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors a zip of this package, once per application: they need no copy of the repository."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plumeflux_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="plumeflux-zip-"), "plumeflux.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, file.relative_to(here.parent).as_posix())
+    sc.addPyFile(target)
+    sc._plumeflux_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder the cluster names; make one only for local runs."""
     sc = spark.sparkContext
