@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumeflux.llm import exact_dedup, mixing, ngram_join, packing, quality
 from plumeflux.llm.queries import vocabulary
-from plumeflux.session import cut_lineage
+from plumeflux.session import cut_lineage, ship_package
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

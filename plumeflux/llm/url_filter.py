@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS = 8  # 64-bit words in a block of 512 bits
-FILTER_BYTES = 4 << 20
+from plumeflux.llm.bloom import FILTER_BYTES, WORDS, block_of, bloom_blocks, may_hold, n_blocks
+
 _HOST = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 
@@ -25,30 +25,6 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _PATH, 1)
 
 
-def _bits(h: Column) -> Column:
-    """Mask of one bit in each word of a block: six bits of the hash choose the place in each."""
-    return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(h, k), F.lit(64)).cast("int")))
-
-
-def _block(h: Column, blocks: int) -> Column:
-    return F.pmod(h, F.lit(blocks)).cast("int")
-
-
-def bloom_blocks(rules: DataFrame, n_rules: int, per_block: int = 32) -> tuple[DataFrame, int]:
-    """All blocks of the filter over listed (host, path) pairs: block, words. Also the number of blocks."""
-    blocks = max(1, -(-n_rules // per_block))
-    h = F.xxhash64("host", "path")
-    rows = rules.select(_block(h, blocks).alias("block"), _bits(h).alias("bits"))
-    words = F.array(*[F.bit_or(F.col("bits")[k]) for k in range(WORDS)])
-    used = rows.groupBy("block").agg(words.alias("words"))
-    every = rules.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
-    return every.join(used, "block", "left").withColumn("words", F.coalesce("words", F.array_repeat(F.lit(0).cast("bigint"), WORDS))), blocks
-
-
-def _hit(words: Column, h: Column) -> Column:
-    return F.forall(F.zip_with(words, _bits(h), lambda w, b: w.bitwiseAND(b) == b), lambda x: x)
-
-
 def _candidates(lengths: list[int]) -> Column:
     """Canonical URLs that a rule for this url would have: each parent host with each listed path length."""
     parts = F.split("host", r"\.", -1)
@@ -77,17 +53,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     rows = pages.select(F.col(key), F.col(url).alias("__url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     if not facts["n"]:
         return rows.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    filters, blocks = bloom_blocks(rules, facts["n"])
+    blocks = n_blocks(facts["n"])
+    filters = bloom_blocks(rules, F.xxhash64("host", "path"), blocks)
     urls = rows.select("host", "path").distinct().withColumn("__c", _candidates(facts["lengths"]))
     hashed = lambda c: F.xxhash64(c["host"], c["path"])
     if blocks * WORDS * 8 <= filter_bytes:
         held = filters.agg(F.array_sort(F.collect_list(F.struct("block", "words")))["words"].alias("m")).scalar()
         urls = urls.withColumn("__m", held)
-        passed = F.filter("__c", lambda c: _hit(F.col("__m")[_block(hashed(c), blocks)], hashed(c)))
+        passed = F.filter("__c", lambda c: may_hold(F.col("__m")[block_of(hashed(c), blocks)], hashed(c)))
         hits = urls.select("host", "path", F.explode(passed).alias("__c"))
     else:
-        hits = urls.select("host", "path", F.explode("__c").alias("__c")).withColumn("block", _block(hashed(F.col("__c")), blocks))
-        hits = hits.join(filters, "block").where(_hit(F.col("words"), hashed(F.col("__c"))))
+        hits = urls.select("host", "path", F.explode("__c").alias("__c")).withColumn("block", block_of(hashed(F.col("__c")), blocks))
+        hits = hits.join(filters, "block").where(may_hold(F.col("words"), hashed(F.col("__c"))))
     listed = rules.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("verdict").alias("__v"))
     exact = hits.join(listed, (F.col("__c.host") == F.col("__h")) & (F.col("__c.path") == F.col("__p")))
     rank = F.struct((F.char_length("__h") + F.char_length("__p")).alias("n"), F.char_length("__h").alias("m"))
