@@ -12,6 +12,7 @@ from plumeflux.session import cut_lineage
 
 MAX_EDITS = 2
 MIN_CHARS = 16
+BAG = "abcdefghijklmnopqrstuvwxyz ,."
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,14 +85,33 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(n - m) > edits, F.lit(False)).when(m == 0, n <= edits).otherwise(reached)
 
 
-def word_sketch(line: Column) -> Column:
-    """256 parities of word hashes as four 64-bit words; an edit changes at most three words."""
-    def flip(state: Column, word: Column) -> Column:
-        h = F.pmod(F.xxhash64(word), F.lit(256))
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
-        return F.transform(state, lambda v, k: F.when(F.floor(h / 64) == k, v.bitwiseXOR(bit)).otherwise(v))
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common beginning, by halving steps that each compare one part."""
+    most = F.least(F.char_length(a), F.char_length(b))
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
 
-    return F.aggregate(F.split(line, " "), F.array_repeat(F.lit(0).cast("bigint"), 4), flip)
+    def grow(have: Column, step: Column) -> Column:
+        more = (have + step <= most) & (F.substring(a, have + 1, step) == F.substring(b, have + 1, step))
+        return F.when(more, have + step).otherwise(have)
+
+    return F.aggregate(steps, F.lit(0), grow)
+
+
+def trimmed(a: Column, b: Column) -> Column:
+    """Struct of both strings without common beginning and end, which never take an edit."""
+    cut = let(common_prefix(a, b), lambda n: F.struct(F.substring(a, n + 1, F.char_length(a)).alias("a"), F.substring(b, n + 1, F.char_length(b)).alias("b")))
+    drop = lambda x, n: F.substring(x, F.lit(1), F.char_length(x) - n)
+
+    def tail(s: Column) -> Column:
+        n = common_prefix(F.reverse(s["a"]), F.reverse(s["b"]))
+        return let(n, lambda k: F.struct(drop(s["a"], k).alias("a"), drop(s["b"], k).alias("b")))
+
+    return let(cut, tail)
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each letter of BAG occurs; an edit changes two of the counts by one, at most."""
+    return F.array(*[F.char_length(line) - F.char_length(F.translate(line, c, "")) for c in BAG])
 
 
 def line_links(docs: DataFrame, lines: DataFrame, edits: int, min_chars: int, key: str, text: str) -> DataFrame:
@@ -112,13 +132,16 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int, min_chars: int, ke
     again = split_lines(docs, key, text).select("line", h1.alias("h1"), h2.alias("h2"))
     again = again.where(likely_hit(wanted, wanted.count(), F.xxhash64("h1")))
     texts = again.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(wanted, "h1")
-    texts = cut_lineage(texts.withColumn("sketch", word_sketch(F.col("line"))))
-    left = texts.select(F.col("h1").alias("a"), F.struct("h1", "h2").alias("na"), F.col("line").alias("la"), F.col("sketch").alias("sa"))
-    right = texts.select(F.col("h1").alias("b"), F.struct("h1", "h2").alias("nb"), F.col("line").alias("lb"), F.col("sketch").alias("sb"))
+    texts = cut_lineage(texts.withColumn("bag", letter_counts(F.col("line"))))
+    left = texts.select(F.col("h1").alias("a"), F.struct("h1", "h2").alias("na"), F.col("line").alias("la"), F.col("bag").alias("sa"))
+    right = texts.select(F.col("h1").alias("b"), F.struct("h1", "h2").alias("nb"), F.col("line").alias("lb"), F.col("bag").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
-    flips = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(4)), F.lit(0))
-    near = both.where(F.abs(F.char_length("la") - F.char_length("lb")) <= edits).where(flips <= 3 * edits)
-    found = near.select("na", "nb", within(F.col("la"), F.col("lb"), edits).alias("hit")).where("hit")
+    # cheap bounds first: lengths, then letter counts
+    moved = sum((F.abs(F.col("sa")[k] - F.col("sb")[k]) for k in range(len(BAG))), F.lit(0))
+    near = both.where(F.abs(F.char_length("la") - F.char_length("lb")) <= edits).where(moved <= 2 * edits)
+    left_over = near.select("na", "nb", trimmed(F.col("la"), F.col("lb")).alias("t"))
+    hit = let(F.col("t"), lambda t: within(t["a"], t["b"], edits))
+    found = left_over.select("na", "nb", hit.alias("hit")).where("hit")
     return cut_lineage(found.select(F.col("na").alias("a"), F.col("nb").alias("b")))
 
 
