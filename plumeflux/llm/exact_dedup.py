@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumeflux.llm.bloom import FILTER_BYTES, likely_hit
 from plumeflux.llm.url_filter import lower_ascii
 from plumeflux.session import cut_lineage, ensure_checkpoint_dir
 
@@ -79,7 +80,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return dedup_files(spark, path, key=key, text=text, keep_only=True).select(*docs.columns)
 
 
-def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, key: str = "doc_id", text: str = "text", max_files: int = 10_000, keep_only: bool = False) -> DataFrame:
+def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, key: str = "doc_id", text: str = "text", max_files: int = 10_000, keep_only: bool = False, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Every row of the files at ``path`` with keep_id, group_size, kept, text_sha256 (and all columns but the text).
 
     With ``keep_only`` the rows that stay, with all their columns, text too.
@@ -95,27 +96,30 @@ def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     """
     own = state_session(spark)
     _, state = run_state(stream_files(own, path, max_files), digest, key, text)
-    state = cut_lineage(state.select("digest", F.col("at.id").alias("__id"), F.col("at.file").alias("__file"), F.col("at.row").alias("__row"), "n"))
-    path_digest = cut_lineage(state.where("n > 1").select(F.col("digest").alias("__d"), "__id", "__file", "__row", "n"))
+    held = state.where("n > 1").select(F.col("digest").alias("__d"), F.col("at.id").alias("__kept_id"), F.col("at.file").alias("__kept_file"), F.col("at.row").alias("__kept_row"), "n")
+    held = cut_lineage(held)
 
     docs = own.read.parquet(path)
     place = (F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     norm = normalised(F.col(text))
-    # content of the located rows, once for each digest with hits
-    located = docs.select(norm.alias("__kept_text"), *place)
-    content = located.join(path_digest, ["__file", "__row"]).select(F.col("__d"), "__kept_text", F.col("__id").alias("__kept_id"), F.col("__file").alias("__kept_file"), F.col("__row").alias("__kept_row"), "n")
     others = [c for c in docs.columns if c not in (text, "keep_id", "group_size", "kept", "text_sha256")]
     rows = docs.select(*others, *place, norm.alias("__norm"), digest(norm).alias("__digest"))
     rows = rows.withColumn("text_sha256", F.col("__digest") if digest is sha256 else sha256(F.col("__norm")))
-    single = rows.join(path_digest.select("__d"), F.col("__digest") == F.col("__d"), "left_anti")
-    hits = rows.join(content, F.col("__digest") == F.col("__d"))
-    same = F.col("__norm") == F.col("__kept_text")
+    # texts of possible hits only leave the scan; the filter is exact enough to spare nearly all others
+    likely = likely_hit(held, held.count(), F.xxhash64("__digest"), filter_bytes)
+    rows = cut_lineage(rows.withColumn("__norm", F.when(likely, F.col("__norm"))))
+    single = rows.drop("__norm").join(held.select("__d"), F.col("__digest") == F.col("__d"), "left_anti")
     alone = single.select(*others, F.col(key).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    checked = cut_lineage(hits.select(*others, "__file", "__row", "__digest", "__kept_id", "__kept_file", "__kept_row", "n", "text_sha256", same.alias("__same"), F.when(~same, F.col("__norm")).alias("__other")))
+    hits = rows.where(F.col("__norm").isNotNull()).join(held, F.col("__digest") == F.col("__d"))
+    is_kept = (F.col("__file") == F.col("__kept_file")) & (F.col("__row") == F.col("__kept_row"))
+    # the located content, once for each digest with hits
+    content = hits.where(is_kept).select(F.col("__d").alias("__c"), F.col("__norm").alias("__kept_text"))
+    compared = hits.join(content, F.col("__d") == F.col("__c"))
+    same = F.col("__norm") == F.col("__kept_text")
+    checked = cut_lineage(compared.select(*others, "__file", "__row", "__digest", "__kept_id", "__kept_file", "__kept_row", "n", "text_sha256", same.alias("__same"), F.when(~same, F.col("__norm")).alias("__other")))
     # all rows of most digests agree with the located content; else groups are counted by their bytes
     clash = checked.where(~F.col("__same")).select("__digest").distinct()
     agree = checked.join(clash, "__digest", "left_anti")
-    is_kept = (F.col("__file") == F.col("__kept_file")) & (F.col("__row") == F.col("__kept_row"))
     agreed = agree.select(*others, F.col("__kept_id").alias("keep_id"), F.col("n").alias("group_size"), is_kept.alias("kept"), "text_sha256")
     mixed = checked.join(clash, "__digest", "left_semi")
     best = mixed.groupBy("__digest", "__other").agg(F.max(F.struct(F.col(key).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"))).alias("__best"), F.count(F.lit(1)).alias("__n"))
