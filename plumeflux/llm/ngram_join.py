@@ -12,18 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeflux.llm.components import connected_components
-from plumeflux.llm.text import mix, shingle_sets
+from plumeflux.llm.text import distinct, mix, shingle_sets
 from plumeflux.session import cut_lineage
 
 BLOCK_SETS = 512
 EDGE_TOKENS = 64
 
 
-def linked(overlap: int, total: int, percent: int) -> bool:
-    """Whether sets of ``total`` tokens together, ``overlap`` of them shared, reach the similarity."""
-    return (100 + percent) * overlap >= percent * total
-
-
 def most_differences(total: int, percent: int) -> int:
     """Tokens that only one of two linked sets has, at most, from the sum of their sizes."""
     return (100 - percent) * total // (100 + percent)
@@ -98,47 +93,52 @@ class PrefixTree:
             self.nodes[place] = (first[start:end], end, min(sizes), max(sizes), children, ends)
         return root
 
-    def probe(self, x: np.ndarray, percent: int) -> Iterator[int]:
-        """Sets linked with ``x``."""
-        n = len(x)
-        stack = [(self.root, 0, 0)]
-        while stack:
-            place, overlap, passed = stack.pop()
-            tokens, depth, least, most, children, ends = self.nodes[place]
-            if len(tokens):
-                where = np.searchsorted(x, tokens)
-                inside = where < n
-                overlap += int((x[where[inside]] == tokens[inside]).sum())
-                passed = int(np.searchsorted(x, tokens[-1], "right"))
-            # of the sizes below, the one that suits best: all that is left of x matched, nothing more
-            size = min(max(depth + n - passed, least), most)
-            if not linked(overlap + min(n - passed, size - depth), n + size, percent):
-                continue
-            for k in ends:
-                if linked(overlap, n + depth, percent):
-                    yield k
-            stack.extend((c, overlap, passed) for c in children)
+    def join(self, probes: list[np.ndarray], percent: int, cells: int = 8_000_000) -> Iterator[tuple[int, np.ndarray]]:
+        """Pairs (set, linked probes). All probes walk the tree together, a batch at a time: a node's tokens
+        are looked up once for the probes still alive, and a probe dies where its bound fails."""
+        universe = distinct(np.concatenate([*self.sets, *probes]))
+        rank = [np.searchsorted(universe, node[0]) for node in self.nodes]
+        step = max(1, cells // len(universe))
+        for at in range(0, len(probes), step):
+            batch = probes[at : at + step]
+            n = np.array([len(x) for x in batch])
+            has = np.zeros((len(batch), len(universe)), np.uint8)
+            for k, x in enumerate(batch):
+                has[k, np.searchsorted(universe, x)] = 1
+            upto = np.cumsum(has, axis=1, dtype=np.int32)
+            stack = [(self.root, np.arange(len(batch)), np.zeros(len(batch), np.int64))]
+            while stack:
+                place, alive, overlap = stack.pop()
+                _, depth, least, most, children, ends = self.nodes[place]
+                tokens, passed = rank[place], 0
+                if len(tokens):
+                    overlap = overlap + has[np.ix_(alive, tokens)].sum(1, dtype=np.int64)
+                    passed = upto[alive, tokens[-1]]
+                own = n[alive]
+                # of the sizes below, the one that suits best: all that is left of the probe matched, nothing more
+                size = np.clip(depth + own - passed, least, most)
+                good = (100 + percent) * (overlap + np.minimum(own - passed, size - depth)) >= percent * (own + size)
+                alive, overlap = alive[good], overlap[good]
+                if len(alive) == 0:
+                    continue
+                for k in ends:
+                    yield k, at + alive[(100 + percent) * overlap >= percent * (n[alive] + depth)]
+                stack.extend((c, alive, overlap) for c in children)
 
 
 def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Links among ``left`` (``right`` None), or of ``right`` (numbered after ``left``) to ``left``, that join new components."""
-    tree, probes = PrefixTree(left), left if right is None else right
     shift = 0 if right is None else len(left)
-    parent = list(range(len(left) + (0 if right is None else len(right))))
-
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
+    component = np.arange(len(left) + (0 if right is None else len(right)))
     out = []
-    for j, x in enumerate(probes):
-        for k in tree.probe(x, percent):
-            a, b = find(k), find(j + shift)
-            if a != b:
-                parent[a] = b
-                out.append((k, j + shift))
+    for k, found in PrefixTree(left).join(left if right is None else right, percent):
+        found = found + shift
+        while True:
+            new = found[component[found] != component[k]]
+            if len(new) == 0:
+                break
+            out.append((k, int(new[0])))
+            component[component == component[new[0]]] = component[k]
     return out
 
 
