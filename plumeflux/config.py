@@ -73,7 +73,7 @@ class FluxConfig:
     turn_deg: float = 45.0
     step_mad_k: float = 3.0
     greedy_floor_k: float = 0.5
-    greedy_max_steps: int = 600
+    greedy_max_steps: int | None = None
     # chemistry
     decay_option: str = "A"
     residual_tol: float = 2.0

@@ -177,7 +177,7 @@ def hourly_match(
     )
     t = micros(time)
     joined = rows.withColumn("__b", hour_index(time)).join(table, keys + ["__b"], "left")
-    d_lo, d_hi = t - F.col("__lo.t"), F.col("__hi.t") - t
+    d_lo, d_hi = F.abs(t - F.col("__lo.t")), F.abs(F.col("__hi.t") - t)
     use_lo = F.col("__hi").isNull() | (d_lo <= d_hi)
     rec = F.when(use_lo, F.col("__lo")).otherwise(F.col("__hi"))
     gap = F.when(use_lo, d_lo).otherwise(d_hi) / float(HOUR_US)
@@ -213,7 +213,7 @@ def asof_nearest(
         .groupBy(*keys, F.col(right_time).cast("timestamp").alias("__t"))
         .agg(F.min_by(F.struct(F.col(tie).alias("__tie"), *[F.col(c) for c in carry]), F.col(tie)).alias("__p"))
         .withColumn("__p", F.struct("__t", "__p"))
-        .withColumns({"__kind": F.lit(0), "__id": F.lit(None).cast("bigint")})
+        .withColumns({"__kind": F.lit(0), "__id": F.lit(None).cast(left.schema[left_id].dataType)})
     )
     asks = left.where(F.col(left_time).isNotNull()).select(
         *keys, F.col(left_time).cast("timestamp").alias("__t"), F.col(left_id).alias("__id"), F.lit(1).alias("__kind")

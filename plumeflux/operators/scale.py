@@ -55,8 +55,10 @@ def scalar_join(big: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def value_bucket(v: Column, per_octave: int = 1024) -> Column:
-    """A monotone integer bucket of a double: sign and finely cut logarithm."""
-    size = F.floor(F.log2(F.abs(v)) * F.lit(float(per_octave))) + F.lit(1200 * per_octave)
+    """A monotone integer bucket of a double: sign and finely cut logarithm; infinities have buckets of their own."""
+    size = F.floor(F.log2(F.when(F.abs(v) == F.lit(float("inf")), F.lit(1.0)).otherwise(F.abs(v))) * F.lit(float(per_octave))) + F.lit(1200 * per_octave)
+    endless = F.abs(v) == F.lit(float("inf"))
+    size = F.when(endless, F.lit(2400 * per_octave)).otherwise(size)
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("bigint")
 
 

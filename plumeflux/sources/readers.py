@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,12 +112,17 @@ def with_utc_hour(cems: DataFrame, facilities: DataFrame, date: str = "date", ho
     return zoned.withColumn("tstmp_utc", local_to_utc(local, "__tz")).drop("__tz")
 
 
-def read_flux_rows(spark: SparkSession, path: str, version: str = "", age: str = "age_hours", overpass_token: int = 8) -> DataFrame:
+# Columns of flux files that hold text.
+FLUX_TEXT = ("traj", "fit_status", "status", "option")
+
+
+def read_flux_rows(spark: SparkSession, path: str, version: str = "", age: str = "age_hours", overpass_token: int = 8, step: str = "step_id", text_columns: Sequence[str] = FLUX_TEXT) -> DataFrame:
     """All ``csf_*.csv`` under ``<facility>_<name>/`` folders as one table, columns matched by name.
 
     Files may have different columns: every header version is parsed with its own columns and the
     parts are united by name. ``_cems`` files are skipped. Adds source_file, facility_id,
-    facility_name, t_overpass and t_emission.
+    facility_name, t_overpass and t_emission. ``step`` names the step column that marks a header, read as
+    step_id; ``text_columns`` stay text, the others become numbers. A file without such a header is an error.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true")
@@ -125,11 +131,14 @@ def read_flux_rows(spark: SparkSession, path: str, version: str = "", age: str =
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_name").alias("source_file"))
         .where(~F.col("source_file").contains("_cems"))
     )
-    is_header = F.col("value").rlike(r"(^|,)step_id(,|$)")
+    is_header = F.col("value").rlike(rf"(^|,){re.escape(step)}(,|$)")
     heads = lines.where(is_header).groupBy("file").agg(F.min("value").alias("header"))
     versions = [r["header"] for r in heads.select("header").distinct().orderBy("header").collect()]
     if not versions:
-        raise ValueError(f"no flux files with a step_id column under {path}")
+        raise ValueError(f"no flux files with a {step} column under {path}")
+    unread = lines.select("file").distinct().join(heads, "file", "left_anti").limit(3).collect()
+    if unread:
+        raise ValueError(f"flux files without a {step} column: {[r['file'] for r in unread]}")
     parts = []
     for header in versions:
         cols = [c.strip() for c in header.split(",")]
@@ -140,8 +149,10 @@ def read_flux_rows(spark: SparkSession, path: str, version: str = "", age: str =
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    numeric = [c for c in out.columns if c not in ("file", "source_file", "facility_id", "facility_name", "time_tag", "traj")]
+    numeric = [c for c in out.columns if c not in ("file", "source_file", "facility_id", "facility_name", "time_tag", *text_columns)]
     out = out.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in numeric})
+    if step != "step_id":
+        out = out.withColumnRenamed(step, "step_id")
     if "time_tag" in out.columns:
         out = out.withColumn("time_tag", F.try_to_timestamp("time_tag"))
     folder = F.url_decode(F.element_at(F.split("file", "/"), -2))

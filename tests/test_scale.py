@@ -92,3 +92,17 @@ def test_salted_lookup_keeps_every_row(skewed, spark):
 def test_quantile_property(spark, values, p):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     assert exact_quantiles(df, [], "v", {"q": p}).first()["q"] == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-9)
+
+
+def test_order_stats_with_infinities(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", v) for v in (-inf, 1.0, 2.0, 3.0, inf)] + [("b", inf)], "k string, v double")
+    got = {r.k: (r.n, r.lo, r.mid, r.hi) for r in exact_quantiles_ranks(df)}
+    assert got == {"a": (5, -inf, 2.0, inf), "b": (1, inf, inf, inf)}
+
+
+def exact_quantiles_ranks(df):
+    from plumeflux.operators.scale import order_stats
+
+    ranks = {"lo": lambda n: n * 0, "mid": lambda n: (n - 1) / 2, "hi": lambda n: n - 1}
+    return order_stats(df, ["k"], "v", ranks).collect()
