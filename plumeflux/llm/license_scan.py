@@ -78,7 +78,8 @@ def retriever(name: str, t: list[int], percent: int) -> Callable[[Column], Colum
         found = F.lit(False)
         for band in range(bands):
             found = found | F.array_contains(window_minima(s, len(t), step, band), F.array_min(banded(own, band)))
-        return F.when(found, F.struct(F.lit(name).alias("name"), own.alias("t")))
+        # a band agrees only where the template's least shingle occurs, so other texts need no windows
+        return F.when(F.arrays_overlap(s, own) & found, F.struct(F.lit(name).alias("name"), own.alias("t")))
 
     return ask
 
@@ -104,12 +105,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]], percent: int = PERCE
     if any(not t for _, t in listed):
         raise ValueError("a template has fewer words than a shingle")
 
-    rows = docs.select(F.col(key), words(F.col(text)).alias("__w"))
-    rows = rows.select(key, shingles(F.col("__w"), width).alias("__s")).where(F.size("__s") > 0)
     retrieved = [retriever(name, t, percent) for name, t in listed]
-    # the text's shingles are made once a row, then asked for every template
-    both = let(F.col("__s"), lambda s: F.struct(s.alias("s"), F.filter(F.array(*[r(s) for r in retrieved]), lambda c: c.isNotNull()).alias("c")))
-    candidates = rows.select(key, both.alias("__b")).where(F.size("__b.c") > 0).select(key, F.col("__b.s").alias("__s"), F.explode("__b.c").alias("c"))
+    # the text's shingles are made once a row, then asked for every template; a filter here would make them again
+    both = let(shingles(words(F.col(text)), width), lambda s: F.struct(s.alias("s"), F.filter(F.array(*[r(s) for r in retrieved]), lambda c: c.isNotNull()).alias("c")))
+    candidates = docs.select(F.col(key), both.alias("__b")).select(key, F.col("__b.s").alias("__s"), F.explode("__b.c").alias("c"))
     size = F.size("c.t")
 
     def best_window(s: Column) -> Column:
