@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -14,7 +14,7 @@ from plumeflux.operators.aggregates import ingest_report
 from plumeflux.sources.sinks import write_parquet
 
 LEDGER_SCHEMA = (
-    "granule_id string, facility_id string, t_granule timestamp, overlap boolean, n_pts bigint, latmin double, latmax double, "
+    "granule_id string, parts array<string>, facility_id string, t_granule timestamp, overlap boolean, n_pts bigint, latmin double, latmax double, "
     "lonmin double, lonmax double, trop_file string, t_trop_mid timestamp, dt_min double, status string"
 )
 
@@ -40,19 +40,46 @@ def failed_rows(failed: DataFrame, status: str) -> DataFrame:
 
 
 def run_batch(
-    items: DataFrame, ledger_path: str, process: Callable[[DataFrame], DataFrame], key: str = "granule_id"
+    items: DataFrame,
+    ledger_path: str,
+    process: Callable[[DataFrame], DataFrame],
+    key: str = "granule_id",
+    part: str | None = None,
+    valid: Column | None = None,
+    status: str = "clip_error",
 ) -> DataFrame:
     """Process the items the ledger does not list, append their outcome, return the updated report.
 
     ``process`` maps pending items to ledger rows. Rows are appended in one commit per batch, so a
-    repeated batch finds its items already listed.
+    repeated batch finds its items already listed. A granule may come in several parts (files) and
+    batches: with the column ``part`` the unit that is done is a granule's part, and each batch adds a
+    row for the parts it brought. Granules with a row where ``valid`` does not hold are listed with
+    ``status`` and the rest of the batch goes on.
     """
     spark = items.sparkSession
-    pending = not_yet_done(items, read_ledger(spark, ledger_path), key)
-    rows = process(pending)
+    ledger = read_ledger(spark, ledger_path)
+    if part is None:
+        pending, parts = not_yet_done(items, ledger, key), None
+    else:
+        # rows written without parts stand for the whole granule
+        pending = not_yet_done(items, ledger.where(F.col("parts").isNull()), key)
+        done = ledger.select(key, F.explode("parts").alias(part))
+        pending = pending.join(done, [key, part], "left_anti")
+        parts = pending.groupBy(key).agg(F.collect_set(part).alias("parts"))
     shape = spark.createDataFrame([], LEDGER_SCHEMA)
-    out = shape.unionByName(rows.select(*[c for c in rows.columns if c in shape.columns]), allowMissingColumns=True)
-    write_parquet(out.select(*shape.columns), ledger_path)
+
+    def outcome(rows: DataFrame) -> DataFrame:
+        listed = rows.select(*[c for c in rows.columns if c in shape.columns and c != "parts"])
+        if parts is not None:
+            listed = listed.join(parts, key, "left")
+        return shape.unionByName(listed, allowMissingColumns=True).select(*shape.columns)
+
+    if valid is None:
+        out = outcome(process(pending))
+    else:
+        broken = pending.where(~F.coalesce(valid, F.lit(False))).select(key).distinct()
+        out = outcome(process(pending.join(broken, key, "left_anti"))).unionByName(outcome(failed_rows(broken, status)))
+    write_parquet(out, ledger_path)
     return ingest_report(read_ledger(spark, ledger_path))
 
 
@@ -63,13 +90,17 @@ def incremental_ingest(
     ledger_path: str,
     checkpoint: str,
     process: Callable[[DataFrame], DataFrame],
+    valid: Column | None = None,
 ) -> StreamingQuery:
-    """Consume new parquet files under ``source`` once and stop; safe to run again after a failure."""
+    """Consume new parquet files under ``source`` once and stop; safe to run again after a failure.
+
+    A file lies in one batch whole, so a granule's part is its file.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        run_batch(df, ledger_path, process)
+        run_batch(df, ledger_path, process, part="__file", valid=valid)
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_path").alias("__file"))
     return (
         stream.writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
