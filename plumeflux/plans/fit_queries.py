@@ -100,6 +100,20 @@ def i01(t: Inputs) -> DataFrame:
     return fits.select(*KEY, "fit_status", *[F.round(c, 4).alias(c) for c in (*GAUSS_PARAMS, "a2sig", "a4sig")])
 
 
+@query(
+    "i01_gaussian_fit_continuous",
+    f"""SELECT transect_id, 'ok' AS fit_status, round(a0,2) AS a0, round(a1,2) AS a1, round(a2,2) AS a2, round(a3,2) AS a3, round(a4,2) AS a4
+    FROM (SELECT DISTINCT transect_id, {TRUE} FROM fx_sample) t""",
+    "fx_sample",
+)
+def i01c(t: Inputs) -> DataFrame:
+    """The true profile of every transect at positions between those of the lattice."""
+    rows = t.sample.join(true_fits(t), KEY).withColumn("x", F.col("dist_ortho") + F.col("event_id") % 7 * 0.031)
+    rows = rows.select(*KEY, "x", models.gaussian_bg("x", *GAUSS_PARAMS).alias("no2"))
+    fits = ft.fit_gaussian(rows, KEY, x="x")
+    return fits.select(*KEY, "fit_status", *[(F.round(c, 2) + 0.0).alias(c) for c in GAUSS_PARAMS])
+
+
 @query(
     "i01_gaussian_grid_fit",
     """WITH u AS (SELECT transect_id, dist_ortho AS x, count(*)::DOUBLE AS n, sum(no2) AS sy, sum(no2*no2) AS syy FROM fx_sample GROUP BY 1,2),

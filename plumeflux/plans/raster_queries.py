@@ -10,6 +10,7 @@ from plumeflux.operators import paths as pt
 from plumeflux.operators import raster as rs
 from plumeflux.operators.joins import nearest_path_row
 from plumeflux.plans.registry import query
+from plumeflux.plans.series_queries import NEAR, W, bear, hav
 from plumeflux.session import cut_lineage
 
 KEY = ["scene"]
@@ -110,7 +111,26 @@ def j05(t: Inputs) -> DataFrame:
     )
 
 
-@query("i06_polynomial_smoothing")
+def _less(q: str, *polys: str) -> str:
+    """SQL: q less its parts along earlier polynomials of the path, all orthogonal sums over its points."""
+    return f"{q}-avg({q}) OVER f" + "".join(f"-sum({q}*{p}) OVER f/sum({p}*{p}) OVER f*{p}" for p in polys)
+
+
+def _fitted(c: str) -> str:
+    return f"avg({c}) OVER f" + "".join(f"+sum({c}*{p}) OVER f/sum({p}*{p}) OVER f*{p}" for p in ("p1", "p2", "p3"))
+
+
+@query(
+    "i06_polynomial_smoothing",
+    f"""WITH {NEAR}, a AS (SELECT facility_id, step_id, lat, lon, sum(coalesce({hav('plat','plon','lat','lon')},0e0)) OVER {W}/1000e0 AS age FROM near),
+    t AS (SELECT *, (age-min(age) OVER f)/(max(age) OVER f-min(age) OVER f+1e-9) AS t, count(*) OVER f AS n FROM a WINDOW f AS (PARTITION BY facility_id)),
+    o1 AS (SELECT *, {_less('t')} AS p1 FROM t WINDOW f AS (PARTITION BY facility_id)),
+    q2 AS (SELECT *, t*p1 AS q FROM o1), o2 AS (SELECT * EXCLUDE (q), {_less('q', 'p1')} AS p2 FROM q2 WINDOW f AS (PARTITION BY facility_id)),
+    q3 AS (SELECT *, t*p2 AS q FROM o2), o3 AS (SELECT * EXCLUDE (q), {_less('q', 'p1', 'p2')} AS p3 FROM q3 WINDOW f AS (PARTITION BY facility_id))
+    SELECT facility_id, step_id, round(CASE WHEN n>=4 THEN {_fitted('lat')} ELSE lat END,6) AS lat,
+    round(CASE WHEN n>=4 THEN {_fitted('lon')} ELSE lon END,6) AS lon FROM o3 WINDOW f AS (PARTITION BY facility_id)""",
+    "fx_trajectory",
+)
 def i06(t: Inputs) -> DataFrame:
     from plumeflux.operators.trajectory import cumulative_distance
 
@@ -119,7 +139,19 @@ def i06(t: Inputs) -> DataFrame:
     return out.select("facility_id", "step_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query("j06_peak_chain")
+@query(
+    "j06_peak_chain",
+    f"""WITH c AS (SELECT facility_id, step_id AS source_step, lat+0.01e0 AS lat, lon-0.01e0 AS lon,
+      row_number() OVER {W}-1 AS step_id, count(*) OVER (PARTITION BY facility_id) AS n FROM fx_trajectory WHERE step_id%4<>0),
+    k AS (SELECT facility_id, floor((epoch_us(max(tstmp) FILTER (step_id=1))-epoch_us(max(tstmp) FILTER (step_id=0)))/1e6) AS dt FROM fx_trajectory GROUP BY 1),
+    l AS (SELECT *, lag(lat) OVER {W} AS plat, lag(lon) OVER {W} AS plon, lead(lat) OVER {W} AS nlat, lead(lon) OVER {W} AS nlon,
+      first_value(lat) OVER {W} AS lat0, first_value(lon) OVER {W} AS lon0 FROM c WHERE n>=2),
+    g AS (SELECT *, coalesce({hav('plat','plon','lat','lon')},0e0) AS back, {hav('lat','lon','nlat','nlon')} AS leg FROM l)
+    SELECT facility_id, step_id, source_step, round(sum(back) OVER {W}/1000e0,5) AS age_km,
+    round(CASE WHEN dt>0 THEN coalesce(leg, back)/dt END,5) AS wso,
+    round(CASE WHEN step_id=0 THEN {bear('lat','lon','nlat','nlon')} ELSE {bear('lat0','lon0','lat','lon')} END,5) AS wd FROM g JOIN k USING (facility_id)""",
+    "fx_trajectory",
+)
 def j06(t: Inputs) -> DataFrame:
     csf = t.trajectory.select(
         "facility_id",
@@ -131,7 +163,22 @@ def j06(t: Inputs) -> DataFrame:
     return chain.select("facility_id", "step_id", "source_step", *[F.round(c, 5).alias(c) for c in ("age_km", "wso", "wd")])
 
 
-@query("j07_greedy_walk")
+@query(
+    "j07_greedy_walk",
+    f"""WITH RECURSIVE lv AS (SELECT scene, median(no2)+0.5e0*(quantile_cont(no2,0.75)-quantile_cont(no2,0.25)) AS low FROM fx_pixel GROUP BY 1),
+    seed AS (SELECT DISTINCT scene, (scene*7)%50 AS i, (scene*11)%64 AS j FROM fx_pixel),
+    walk AS (SELECT s.scene, s.i, s.j, 0 AS way, [s.i*1000000+s.j] AS seen FROM seed s JOIN fx_pixel p ON p.scene=s.scene AND p.i=s.i AND p.j=s.j
+     UNION ALL SELECT scene, b.i, b.j, way+1, list_append(seen, b.i*1000000+b.j) FROM (
+      SELECT w.scene, w.way, w.seen, arg_max({{'i': p.i, 'j': p.j}}, {{'v': p.no2, 'a': -p.i, 'b': -p.j}}) AS b FROM walk w JOIN lv ON lv.scene=w.scene
+      JOIN fx_pixel p ON p.scene=w.scene AND abs(p.i-w.i)<=1 AND abs(p.j-w.j)<=1
+      WHERE p.no2>=lv.low AND NOT list_contains(w.seen, p.i*1000000+p.j) GROUP BY w.scene, w.way, w.seen) n),
+    whole AS (SELECT * FROM walk WHERE scene IN (SELECT scene FROM walk WHERE way=1)),
+    met AS (SELECT a.scene, a.way, a.i, a.j, p.j AS step_id, 4e0+p.j%3 AS wso,
+      row_number() OVER (PARTITION BY a.scene, a.way ORDER BY {hav('(35e0+a.i*0.05e0)','(-95e0+a.j*0.05e0)','p.lat','p.lon')}, p.j) AS rn
+      FROM whole a JOIN fx_pixel p ON p.scene=a.scene AND p.i=0)
+    SELECT scene, CAST(way AS BIGINT) AS way, i, j, step_id, wso FROM met WHERE rn=1""",
+    "fx_pixel",
+)
 def j07(t: Inputs) -> DataFrame:
     walk = rs.greedy_walk(t.pixel, scene_seeds(t), KEY)
     met = nearest_path_row(
