@@ -15,7 +15,7 @@ from plumeflux.llm.components import connected_components
 from plumeflux.llm.text import distinct, mix, shingle_sets
 from plumeflux.session import cut_lineage
 
-BLOCK_SETS = 512
+BLOCK_TOKENS = 1 << 20  # 8 MB of hashes
 EDGE_TOKENS = 64
 
 
@@ -213,14 +213,14 @@ def _join_blocks(percent: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
+def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Links (a, b) between classes that connect every two linked classes, by prefix-tree joins.
 
     1. Sets that share a segment key are candidates. Keys hold a segment's whole content, so a passage
        that many documents share makes no candidates by itself. Each key's classes are tied to its
        smallest one, and components of these ties are the clusters.
-    2. The sets of clustered classes go to their clusters, in blocks of about ``block_sets``; one tree is
-       built for each pair of blocks and probed. Only links that join new components leave a task.
+    2. The sets of clustered classes go to their clusters, in blocks of about ``block_tokens`` tokens; one
+       tree is built for each pair of blocks and probed. Only links that join new components leave a task.
     """
     seg = class_keys(docs, width, percent, text)
     ties = seg.select("c", F.min("c").over(Window.partitionBy("seg")).alias("m")).where("c <> m").distinct()
@@ -228,14 +228,14 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
 
     half = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("bigint")
     members = classes.where(F.col("class").isNotNull()).withColumn("c", half).join(clusters, F.col("c") == F.col("node"))
-    chosen = cut_lineage(members.groupBy("class").agg(F.min(key).alias("__id"), F.first("root").alias("root")))
+    chosen = cut_lineage(members.groupBy("class").agg(F.min(key).alias("__id"), F.first("root").alias("root"), F.max("n_shingles").alias("n")))
     ids = chosen.select("__id").distinct()
     texts = docs.select(F.col(key).alias("__id"), F.col(text))
     texts = texts.join(ids, texts["__id"].eqNullSafe(ids["__id"]), "left_semi").select(text)
-    sets = full_sets(texts, width, text).join(chosen.select("class", "root"), "class")
     # copies of a set are dropped where they meet, in the blocks
-    size = chosen.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(block_sets)))
-    sets = sets.join(size.select("root", "blocks"), "root")
+    size = chosen.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).alias("blocks"))
+    home = chosen.select("class", "root").join(size, "root")  # slim: the sets themselves are joined once
+    sets = full_sets(texts, width, text).join(home, "class")
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
     others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
     dealt = sets.withColumn("block", block).withColumn("__pair", F.explode(others))
