@@ -15,7 +15,7 @@ from plumeflux.llm.components import connected_components
 from plumeflux.llm.text import distinct, mix, shingle_sets
 from plumeflux.session import cut_lineage
 
-BLOCK_TOKENS = 1 << 20  # 8 MB of hashes
+BLOCK_TOKENS = 4 << 20  # 32 MB of hashes
 EDGE_TOKENS = 64
 
 
