@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,42 +16,28 @@ from plumeflux.llm.text import distinct, mix, shingle_sets
 from plumeflux.session import cut_lineage
 
 BLOCK_TOKENS = 4 << 20  # 32 MB of hashes
+LOAD_BITS = 23  # counters of token loads: 8 MB of levels at every size of the input
+CHUNK_BITS = 16
 EDGE_TOKENS = 64
 
 
-def most_differences(total: int, percent: int) -> int:
-    """Tokens that only one of two linked sets has, at most, from the sum of their sizes."""
-    return (100 - percent) * total // (100 + percent)
+def prefix_keys(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the rarest tokens of a set: two linked sets share at least one.
 
-
-def segment_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of segments of the global token order: two linked sets share at least one.
-
-    Sizes fall in bands up to 1, 2, 4, ... Sets of a band cut the order of tokens (their hashes) into the
-    same number of segments, more than the differences two linked sets of the band can have, so some
-    segment holds the same tokens in both. A set that may be linked into the next band has that band's
-    keys too. Empty segments give no key; in the rare set where they might be all that agrees, they do.
+    The global order of tokens is (level, hash). The first token that two linked sets share comes before
+    more than (100 - percent)% of neither, so it lies in the prefix of both. A token of level 0 lies in no
+    other set and gives no key. Sizes fall in bands up to 1, 2, 4, ...; a set that may be linked into the
+    next band has that band's keys too.
     """
     n = len(tokens)
     if n == 0:
         return tokens
+    level = levels[(tokens >> np.uint64(64 - LOAD_BITS)).astype(np.int64)]
+    first = np.argsort(level, kind="stable")[: n + percent * -n // 100 + 1]
+    rare = tokens[first[level[first] > 0]]
     band = (n - 1).bit_length()
-    largest = 100 * n // percent  # size of a linked set, at most
-    bands = [band] if largest <= 1 << band else [band, band + 1]
-    mixed, high, out = mix(tokens), tokens >> np.uint64(32), []
-    for b in bands:
-        cap = 1 << b
-        differences = most_differences(2 * cap, percent)
-        parts = differences + differences // 20 + 8
-        at = ((high * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        sums = np.add.reduceat(mixed, edges)
-        tag = (np.uint64(b) << np.uint64(40)) + at[edges].astype(np.uint64)
-        out.append(mix(sums + mix(tag)))
-        if len(edges) <= most_differences(n + min(largest, cap), percent):
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[edges].astype(np.uint64))
-            out.append(mix(mix((np.uint64(b) << np.uint64(40)) + empty)))
-    return np.concatenate(out)
+    bands = [band] if 100 * n // percent <= 1 << band else [band, band + 1]
+    return np.concatenate([mix(rare + mix(np.array([b], np.uint64))) for b in bands])
 
 
 class PrefixTree:
@@ -63,7 +49,7 @@ class PrefixTree:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
-        order = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
+        order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
         self.nodes: list[tuple[np.ndarray, int, int, int, list[int], list[int]]] = []  # tokens, depth after, sizes, children, ends
         self.root = self._build(order, 0)
 
@@ -93,14 +79,33 @@ class PrefixTree:
             self.nodes[place] = (first[start:end], end, min(sizes), max(sizes), children, ends)
         return root
 
-    def join(self, probes: list[np.ndarray], percent: int, cells: int = 8_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    def _settled(self, component: np.ndarray) -> np.ndarray:
+        """Per node a set below it if all sets below it are in one component, else -1."""
+        out = np.full(len(self.nodes), -1, np.int64)
+        for place in range(len(self.nodes) - 1, -1, -1):  # children come after their parent
+            *_, children, ends = self.nodes[place]
+            below = [*ends, *(out[c] for c in children)]
+            if min(below) >= 0 and len({component[k] for k in below}) == 1:
+                out[place] = below[0]
+        return out
+
+    def join(self, probes: list[np.ndarray], percent: int, cells: int = 8_000_000, component: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """Pairs (set, linked probes). All probes walk the tree together, a batch at a time: a node's tokens
-        are looked up once for the probes still alive, and a probe dies where its bound fails."""
+        are looked up once for the probes still alive, and a probe dies where its bound fails.
+
+        With ``component`` (of the sets, then of the probes; only of the sets where they are the probes), kept
+        up to date by the caller, a probe also leaves a subtree whose sets are all in its own component.
+        """
         universe = distinct(np.concatenate([*self.sets, *probes]))
         rank = [np.searchsorted(universe, node[0]) for node in self.nodes]
-        step = max(1, cells // len(universe))
-        for at in range(0, len(probes), step):
-            batch = probes[at : at + step]
+        step, at, done = max(1, cells // len(universe)), 0, 0
+        mine = None if component is None else component[len(component) - len(probes) :]
+        while at < len(probes):
+            if component is not None and done & (done - 1) == 0:
+                settled = self._settled(component)
+            done += 1
+            end = at + (step if component is None or at else min(step, 16))
+            batch = probes[at:end]
             n = np.array([len(x) for x in batch])
             has = np.zeros((len(batch), len(universe)), np.uint8)
             for k, x in enumerate(batch):
@@ -109,6 +114,11 @@ class PrefixTree:
             stack = [(self.root, np.arange(len(batch)), np.zeros(len(batch), np.int64))]
             while stack:
                 place, alive, overlap = stack.pop()
+                if component is not None and settled[place] >= 0:
+                    apart = mine[at + alive] != component[settled[place]]
+                    alive, overlap = alive[apart], overlap[apart]
+                    if len(alive) == 0:
+                        continue
                 _, depth, least, most, children, ends = self.nodes[place]
                 tokens, passed = rank[place], 0
                 if len(tokens):
@@ -124,6 +134,7 @@ class PrefixTree:
                 for k in ends:
                     yield k, at + alive[(100 + percent) * overlap >= percent * (n[alive] + depth)]
                 stack.extend((c, alive, overlap) for c in children)
+            at = end
 
 
 def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
@@ -131,7 +142,7 @@ def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, perce
     shift = 0 if right is None else len(left)
     component = np.arange(len(left) + (0 if right is None else len(right)))
     out = []
-    for k, found in PrefixTree(left).join(left if right is None else right, percent):
+    for k, found in PrefixTree(left).join(left if right is None else right, percent, component=component):
         found = found + shift
         while True:
             new = found[component[found] != component[k]]
@@ -146,8 +157,18 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _new_sets(batch: pa.RecordBatch, width: int, said: set[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Digest and tokens of each set of the first column that this task has not said; one said twice does no harm."""
+    for tokens in shingle_sets(batch.column(0), width):
+        digest = _digest(tokens)
+        if len(tokens) and digest not in said:
+            if len(said) < 200_000:  # bounds memory
+                said.add(digest)
+            yield digest, tokens
+
+
 def set_classes(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles, class (digest of its set; null without shingles). One scan, no shuffle."""
+    """Per row: key, n_shingles, class (digest of its set; null without shingles), text_hash. One scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,60 +176,104 @@ def set_classes(docs: DataFrame, width: int, key: str = "doc_id", text: str = "t
             for tokens in shingle_sets(batch.column(1), width):
                 sizes.append(len(tokens))
                 digests.append(_digest(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=[key, "n_shingles", "class"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_shingles", "class", "text_hash"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, class binary")
-
+    return docs.select(F.col(key), F.col(text), F.xxhash64(text)).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, class binary, text_hash bigint")
 
-def class_keys(docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
-    """Rows (seg, c): segment keys of every set; c is the first half of its class digest. A task says each set once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: set[bytes] = set()
-        for batch in batches:
-            keys, owners, held = [], [], 0
-            for tokens in shingle_sets(batch.column(0), width):
-                if len(tokens) == 0:
-                    continue
-                digest = _digest(tokens)
-                if digest in said:
-                    continue
-                if len(said) < 1_000_000:  # bounds memory; a set said twice does no harm
-                    said.add(digest)
-                own = segment_keys(tokens, percent)
-                keys.append(own)
-                owners.append(np.full(len(own), int.from_bytes(digest[:8], "big", signed=True), np.int64))
-                held += len(own)
-                if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["seg", "c"])
-                    keys, owners, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["seg", "c"])
+def token_levels(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
+    """Level of every token counter: 0 if one set at most has its tokens, then rising with the logarithm of its load.
 
-    return docs.select(F.col(text)).mapInArrow(run, "seg bigint, c bigint")
+    A counter (the first ``LOAD_BITS`` bits of a token) sums the sets of all its tokens over all rows; equal
+    sets count once per task. Tasks send chunks of counters, a sum per chunk is streamed, and the driver
+    gets one byte per counter: 8 MB at every size of the input.
+    """
+    chunks = 1 << (LOAD_BITS - CHUNK_BITS)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load, said = np.zeros(1 << LOAD_BITS, np.uint32), set()
+        for batch in batches:
+            for _, tokens in _new_sets(batch, width, said):
+                np.add.at(load, (tokens >> np.uint64(64 - LOAD_BITS)).astype(np.int64), np.uint32(1))
+        load = load.reshape(chunks, -1)
+        used = np.flatnonzero(load.any(axis=1))
+        packed = [zlib.compress(np.packbits(load[k] > 0).tobytes() + load[k][load[k] > 0].tobytes(), 1) for k in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "load"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw, bitmap = zlib.decompress(packed.as_py()), 1 << (CHUNK_BITS - 3)
+                have = np.unpackbits(np.frombuffer(raw[:bitmap], np.uint8)).astype(bool)
+                sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))[have] += np.frombuffer(raw[bitmap:], np.uint32)
+        levels = [np.minimum(255, 12 * np.log2(np.maximum(s, 1))).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "level"])
 
-def full_sets(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """Rows (class, tokens): sets as sorted 64-bit hashes."""
+    loads = docs.select(F.col(text)).mapInArrow(count, "chunk int, load binary")
+    out = np.zeros((chunks, 1 << CHUNK_BITS), np.uint8)
+    for row in loads.repartition(16, "chunk").mapInArrow(total, "chunk int, level binary").toLocalIterator():
+        out[row["chunk"]] = np.frombuffer(row["level"], np.uint8)
+    return out.reshape(-1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [t for t in shingle_sets(batch.column(0), width) if len(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())], names=["class", "tokens"])
 
-    return docs.select(F.col(text)).mapInArrow(run, "class binary, tokens binary")
+def class_keys(docs: DataFrame, levels, width: int, percent: int, text: str = "text", flush: int = 1_000_000) -> DataFrame:
+    """Rows (seg, c, m): prefix keys of every set; c is the first half of its class digest. ``levels`` is a broadcast.
 
+    A task ties classes that meet in ``flush`` keys to their smallest one by itself (seg null, m the smallest)
+    and sends only that one on (m null), so a key that very many sets share is small before the shuffle.
+    """
 
-def _join_blocks(percent: int):
-    """One block of a cluster's sets with itself, or with another block."""
+    def rows(keys: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        lead = np.concatenate([[True], key[1:] != key[:-1]])
+        least = owner[lead][np.cumsum(lead) - 1]
+        tied = np.unique(np.stack([owner, least])[:, owner != least], axis=1)
+        none = np.zeros(lead.sum(), np.int64), np.zeros(tied.shape[1], np.int64)
+        for seg, c, m in ((pa.array(key[lead]), owner[lead], pa.array(none[0], mask=np.ones(len(none[0]), bool))), (pa.array(none[1], mask=np.ones(len(none[1]), bool)), tied[0], pa.array(tied[1]))):
+            yield pa.RecordBatch.from_arrays([seg, pa.array(c), m], names=["seg", "c", "m"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.drop_duplicates(["class", "side"]).sort_values(["side", "class"])
-        parts = [[np.frombuffer(t, np.uint64) for t in own.loc[own["side"] == side, "tokens"]] for side in (0, 1)]
-        links = spanning_links(parts[0], parts[1] or None, percent) if parts[0] else []
-        names = own["class"].tolist()
-        return pd.DataFrame([(names[a], names[b]) for a, b in links], columns=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: set[bytes] = set()
+        keys, owners, held = [], [], 0
+        for batch in batches:
+            for digest, tokens in _new_sets(batch, width, said):
+                own = prefix_keys(tokens, levels.value, percent)
+                keys.append(own)
+                owners.append(np.full(len(own), int.from_bytes(digest[:8], "big", signed=True), np.int64))
+                held += len(own)
+                if held > flush:
+                    yield from rows(keys, owners)
+                    keys, owners, held = [], [], 0
+        if held:
+            yield from rows(keys, owners)
+
+    return docs.select(F.col(text)).mapInArrow(run, "seg bigint, c bigint, m bigint")
+
+
+def _join_blocks(width: int, percent: int):
+    """Blocks of the clusters of a bin: each with itself, or with another block of its cluster."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts: dict[tuple, dict[bytes, np.ndarray]] = {}  # copies of a set are dropped here
+        texts = (t for chunk in table["text"].chunks for t in shingle_sets(chunk, width))
+        for root, i, j, side, tokens in zip(*(table[c].to_pylist() for c in ("root", "i", "j", "side")), texts):
+            parts.setdefault((root, i, j, side), {})[_digest(tokens)] = tokens
+        a, b = [], []
+        for (root, i, j, side), own in sorted(parts.items()):
+            other = parts.get((root, i, j, 1), {})
+            if side:
+                continue
+            names = [*sorted(own), *sorted(other)]
+            sets = [own.get(d, other.get(d)) for d in names]
+            for x, y in spanning_links(sets[: len(own)], sets[len(own) :] or None, percent):
+                a.append(names[x])
+                b.append(names[y])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -216,31 +281,34 @@ def _join_blocks(percent: int):
 def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Links (a, b) between classes that connect every two linked classes, by prefix-tree joins.
 
-    1. Sets that share a segment key are candidates. Keys hold a segment's whole content, so a passage
-       that many documents share makes no candidates by itself. Each key's classes are tied to its
-       smallest one, and components of these ties are the clusters.
-    2. The sets of clustered classes go to their clusters, in blocks of about ``block_tokens`` tokens; one
-       tree is built for each pair of blocks and probed. Only links that join new components leave a task.
+    1. Sets that share a token of their prefixes (the rarest tokens, see ``prefix_keys``) are candidates; a
+       passage that many documents share is not rare. Each key's classes are tied to its smallest one, and
+       components of these ties are the clusters.
+    2. One text of every clustered class goes to its cluster, cut in blocks of about ``block_tokens`` tokens
+       (texts move, being smaller than their sets); one tree is built for each pair of blocks and probed.
+       Small clusters share a task. Only links that join new components leave it.
     """
-    seg = class_keys(docs, width, percent, text)
-    ties = seg.select("c", F.min("c").over(Window.partitionBy("seg")).alias("m")).where("c <> m").distinct()
+    levels = docs.sparkSession.sparkContext.broadcast(token_levels(docs, width, text))
+    keys = cut_lineage(class_keys(docs, levels, width, percent, text))
+    across = keys.where("m IS NULL").select("c", F.min("c").over(Window.partitionBy("seg")).alias("m")).where("c <> m")
+    ties = across.unionByName(keys.where("m IS NOT NULL").select("c", "m")).distinct()
     clusters = cut_lineage(connected_components(ties.select(F.col("c").alias("a"), F.col("m").alias("b"))))
 
     half = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("bigint")
     members = classes.where(F.col("class").isNotNull()).withColumn("c", half).join(clusters, F.col("c") == F.col("node"))
-    chosen = cut_lineage(members.groupBy("class").agg(F.min(key).alias("__id"), F.first("root").alias("root"), F.max("n_shingles").alias("n")))
-    ids = chosen.select("__id").distinct()
-    texts = docs.select(F.col(key).alias("__id"), F.col(text))
-    texts = texts.join(ids, texts["__id"].eqNullSafe(ids["__id"]), "left_semi").select(text)
-    # copies of a set are dropped where they meet, in the blocks
+    one = F.min(F.struct(key, "text_hash"))
+    chosen = cut_lineage(members.groupBy("class").agg(one.alias("one"), F.first("root").alias("root"), F.max("n_shingles").alias("n")))
     size = chosen.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).alias("blocks"))
-    home = chosen.select("class", "root").join(size, "root")  # slim: the sets themselves are joined once
-    sets = full_sets(texts, width, text).join(home, "class")
+    bins = 1 + (chosen.agg(F.sum("n")).first()[0] or 0) * 2 // block_tokens
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    home = chosen.join(size, "root").select("root", "blocks", block.alias("block"), F.col(f"one.{key}").alias("__id"), F.col("one.text_hash").alias("__hash"))
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), F.xxhash64(text).alias("__of"))
+    texts = texts.join(home, texts["__key"].eqNullSafe(home["__id"]) & (texts["__of"] == home["__hash"]))
     others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-    dealt = sets.withColumn("block", block).withColumn("__pair", F.explode(others))
-    dealt = dealt.select("root", "__pair.i", "__pair.j", "__pair.side", "class", "tokens")
-    return dealt.groupBy("root", "i", "j").applyInPandas(_join_blocks(percent), "a binary, b binary")
+    dealt = texts.withColumn("__pair", F.explode(others)).select("root", "blocks", "__pair.i", "__pair.j", "__pair.side", "text")
+    place = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "i", "j"))
+    dealt = dealt.withColumn("single", F.col("blocks") == 1).withColumn("place", place).drop("blocks")
+    return dealt.groupBy("single", "place").applyInArrow(_join_blocks(width, percent), "a binary, b binary")
 
 
 def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -159,7 +159,7 @@ def test_ngram_components(docs, width, percent):
     assert sorted(str(tuple(r)) for r in ngram_join.ngram_components(docs, width, percent).collect()) == want
 
 
-def test_prefix_tree_and_segment_keys():
+def test_prefix_tree_and_prefix_keys():
     rng = random.Random(3)
     for _ in range(40):
         percent, base = rng.choice([50, 80, 90, 100]), [rng.getrandbits(64) for _ in range(rng.randint(1, 200))]
@@ -172,8 +172,20 @@ def test_prefix_tree_and_segment_keys():
         want = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if 100 * len(plain[i] & plain[j]) >= percent * len(plain[i] | plain[j])}
         got = {(k, int(j)) for k, found in ngram_join.PrefixTree(sets).join(sets, percent, cells=rng.choice([1, 10**6])) for j in found}
         assert got == want
+        levels = np.zeros(1 << ngram_join.LOAD_BITS, np.uint8)
+        at, load = np.unique(np.concatenate(sets) >> np.uint64(64 - ngram_join.LOAD_BITS), return_counts=True)
+        levels[at.astype(int)] = 12 * np.log2(load)
         for i, j in want:
-            assert set(ngram_join.segment_keys(sets[i], percent).tolist()) & set(ngram_join.segment_keys(sets[j], percent).tolist())
+            keys = [set(ngram_join.prefix_keys(sets[k], levels, percent).tolist()) for k in (i, j)]
+            assert i == j or sets[i].tolist() == sets[j].tolist() or keys[0] & keys[1]
+        for right in (None, sets[len(sets) // 2 :]):  # spanning links give the components of all links
+            left = sets if right is None else sets[: len(sets) // 2]
+            if left:
+                root, other = list(range(len(sets))), list(range(len(sets)))
+                for links, r in ((ngram_join.spanning_links(left, right, percent), root), ([p for p in want if right is None or (p[0] < len(left) <= p[1])], other)):
+                    for i, j in links:
+                        r[:] = [r[i] if x == r[j] else x for x in r]
+                assert [root.index(x) for x in root] == [other.index(x) for x in other]
 
 
 def test_token_counts_and_packing(docs, empty):
