@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -16,18 +17,22 @@ from plumeflux.llm.text import distinct, mix, shingle_sets
 from plumeflux.session import cut_lineage
 
 BLOCK_TOKENS = 4 << 20  # 32 MB of hashes
-LOAD_BITS = 23  # counters of token loads: 8 MB of levels at every size of the input
+LOAD_BITS = 26  # counters of token loads: 64 MB of levels at every size of the input
 CHUNK_BITS = 16
 EDGE_TOKENS = 64
 
 
+def band_width(percent: int) -> float:
+    """Width of a size band in log(size): linked sets lie in one band or in two neighbouring ones (a hair wider than their largest ratio)."""
+    return math.log(max(100 / percent, 1.05)) * (1 + 1e-9)
+
+
 def prefix_keys(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the rarest tokens of a set: two linked sets share at least one.
 
     The global order of tokens is (level, hash). The first token that two linked sets share comes before
     more than (100 - percent)% of neither, so it lies in the prefix of both. A token of level 0 lies in no
-    other set and gives no key. Sizes fall in bands up to 1, 2, 4, ...; a set that may be linked into the
-    next band has that band's keys too.
+    other set and gives no key. A set has keys of its size band, and of the next one if it may be linked into it.
     """
     n = len(tokens)
     if n == 0:
@@ -35,8 +40,7 @@ def prefix_keys(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndar
     level = levels[(tokens >> np.uint64(64 - LOAD_BITS)).astype(np.int64)]
     first = np.argsort(level, kind="stable")[: n + percent * -n // 100 + 1]
     rare = tokens[first[level[first] > 0]]
-    band = (n - 1).bit_length()
-    bands = [band] if 100 * n // percent <= 1 << band else [band, band + 1]
+    bands = {int(math.log(m) / band_width(percent)) for m in (n, 100 * n // percent)}
     return np.concatenate([mix(rare + mix(np.array([b], np.uint64))) for b in bands])
 
 
@@ -188,15 +192,19 @@ def token_levels(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
 
     A counter (the first ``LOAD_BITS`` bits of a token) sums the sets of all its tokens over all rows; equal
     sets count once per task. Tasks send chunks of counters, a sum per chunk is streamed, and the driver
-    gets one byte per counter: 8 MB at every size of the input.
+    gets one byte per counter: 64 MB at every size of the input. With far more different tokens than counters
+    levels tell only frequent tokens from the rest; results stay the same, clusters grow.
     """
     chunks = 1 << (LOAD_BITS - CHUNK_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load, said = np.zeros(1 << LOAD_BITS, np.uint32), set()
+        load, said = np.zeros(1 << LOAD_BITS, np.uint8), set()
         for batch in batches:
             for _, tokens in _new_sets(batch, width, said):
-                np.add.at(load, (tokens >> np.uint64(64 - LOAD_BITS)).astype(np.int64), np.uint32(1))
+                at = (tokens >> np.uint64(64 - LOAD_BITS)).astype(np.int64)
+                more = np.diff(np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])))  # tokens are sorted
+                at = distinct(at)
+                load[at] = np.minimum(load[at] + more, 255)  # a task's share of a counter stops there
         load = load.reshape(chunks, -1)
         used = np.flatnonzero(load.any(axis=1))
         packed = [zlib.compress(np.packbits(load[k] > 0).tobytes() + load[k][load[k] > 0].tobytes(), 1) for k in used]
@@ -208,7 +216,7 @@ def token_levels(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw, bitmap = zlib.decompress(packed.as_py()), 1 << (CHUNK_BITS - 3)
                 have = np.unpackbits(np.frombuffer(raw[:bitmap], np.uint8)).astype(bool)
-                sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))[have] += np.frombuffer(raw[bitmap:], np.uint32)
+                sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))[have] += np.frombuffer(raw[bitmap:], np.uint8)
         levels = [np.minimum(255, 12 * np.log2(np.maximum(s, 1))).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "level"])
 
@@ -284,9 +292,10 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     1. Sets that share a token of their prefixes (the rarest tokens, see ``prefix_keys``) are candidates; a
        passage that many documents share is not rare. Each key's classes are tied to its smallest one, and
        components of these ties are the clusters.
-    2. One text of every clustered class goes to its cluster, cut in blocks of about ``block_tokens`` tokens
-       (texts move, being smaller than their sets); one tree is built for each pair of blocks and probed.
-       Small clusters share a task. Only links that join new components leave it.
+    2. One text of every clustered class goes to its cluster (texts move, being smaller than their sets).
+       Small clusters share a task. Clusters of more than ``block_tokens`` tokens are cut by size band, and
+       bands in blocks of about that many tokens; one tree is built for each pair of blocks of a band or of
+       neighbouring bands, and probed. Only links that join new components leave a task.
     """
     levels = docs.sparkSession.sparkContext.broadcast(token_levels(docs, width, text))
     keys = cut_lineage(class_keys(docs, levels, width, percent, text))
@@ -298,20 +307,27 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     members = classes.where(F.col("class").isNotNull()).withColumn("c", half).join(clusters, F.col("c") == F.col("node"))
     one = F.min(F.struct(key, "text_hash"))
     chosen = cut_lineage(members.groupBy("class").agg(one.alias("one"), F.first("root").alias("root"), F.max("n_shingles").alias("n")))
-    size = chosen.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).alias("blocks"))
-    bins = 1 + (chosen.agg(F.sum("n")).first()[0] or 0) * 2 // block_tokens
-    block = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    home = chosen.join(size, "root").select("root", "blocks", block.alias("block"), F.col(f"one.{key}").alias("__id"), F.col("one.text_hash").alias("__hash"))
+    total = chosen.groupBy("root").agg(F.sum("n").alias("tokens"))
+    bins = 1 + (total.agg(F.sum("tokens")).first()[0] or 0) * 2 // block_tokens
+    own = F.when(F.col("tokens") <= block_tokens, F.lit(0)).otherwise(F.floor(F.log("n") / band_width(percent))).cast("bigint")
+    banded = cut_lineage(chosen.join(total, "root").withColumn("band", own))
+    size = banded.groupBy("root", "band").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).alias("blocks"))
+    in_order = Window.partitionBy("root").orderBy("band")
+    near = [F.when(f(F.col("band")).over(in_order) == F.col("band") + d, f(F.col("blocks")).over(in_order)).otherwise(0) for f, d in ((F.lag, -1), (F.lead, 1))]
+    size = size.withColumn("before", near[0]).withColumn("after", near[1])
+    # a block's number: band * 2**20 + place in the band
+    each = [F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1), lambda k, d=d: (F.col("band") + d) * (1 << 20) + k)).otherwise(F.array().cast("array<bigint>")) for c, d in (("before", -1), ("blocks", 0), ("after", 1))]
+    block = F.col("band") * (1 << 20) + F.pmod(F.xxhash64("class"), F.col("blocks"))
+    home = banded.join(size, ["root", "band"]).select("root", (F.col("tokens") <= block_tokens).alias("single"), block.alias("block"), F.concat(*each).alias("others"), F.col(f"one.{key}").alias("__id"), F.col("one.text_hash").alias("__hash"))
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), F.xxhash64(text).alias("__of"))
     texts = texts.join(home, texts["__key"].eqNullSafe(home["__id"]) & (texts["__of"] == home["__hash"]))
-    others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-    dealt = texts.withColumn("__pair", F.explode(others)).select("root", "blocks", "__pair.i", "__pair.j", "__pair.side", "text")
-    place = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "i", "j"))
-    dealt = dealt.withColumn("single", F.col("blocks") == 1).withColumn("place", place).drop("blocks")
+    pairs = F.transform("others", lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
+    dealt = texts.withColumn("__pair", F.explode(pairs)).select("root", "single", "__pair.i", "__pair.j", "__pair.side", "text")
+    dealt = dealt.withColumn("place", F.when(F.col("single"), F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "i", "j")))
     return dealt.groupBy("single", "place").applyInArrow(_join_blocks(width, percent), "a binary, b binary")
 
 
-def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id (smallest key reachable by links).
 
     A set holds the distinct ``width``-word shingles of the whole text as 64-bit hashes; with fewer words
@@ -321,7 +337,7 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, key: st
     there is none; repeated rows keep rows of their own.
     """
     classes = cut_lineage(set_classes(docs, width, key, text))
-    links = connected_components(jaccard_links(docs, classes, width, percent, key, text))
+    links = connected_components(jaccard_links(docs, classes, width, percent, key, text, block_tokens))
     least = classes.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(key).alias("__least"))
     named = least.join(links, F.col("class") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "class"))
     roots = named.groupBy("__root").agg(F.min("__least").alias("__smallest"), F.count(F.lit(1)).alias("__n"))

@@ -157,6 +157,8 @@ def test_ngram_components(docs, width, percent):
             least[root[k]] = min(least.get(root[k], i), i)
     want = sorted(str((i, len(sets[k]), least.get(root[k]))) for k, (i, *_) in enumerate(rows))
     assert sorted(str(tuple(r)) for r in ngram_join.ngram_components(docs, width, percent).collect()) == want
+    cut = ngram_join.ngram_components(docs, width, percent, block_tokens=50)  # clusters in bands and blocks
+    assert sorted(str(tuple(r)) for r in cut.collect()) == want
 
 
 def test_prefix_tree_and_prefix_keys():
