@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeflux.llm.components import connected_components
@@ -222,7 +222,7 @@ def token_levels(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
 
     loads = docs.select(F.col(text)).mapInArrow(count, "chunk int, load binary")
     out = np.zeros((chunks, 1 << CHUNK_BITS), np.uint8)
-    for row in loads.repartition(16, "chunk").mapInArrow(total, "chunk int, level binary").toLocalIterator():
+    for row in loads.repartition(16, "chunk").mapInArrow(total, "chunk int, level binary").collect():
         out[row["chunk"]] = np.frombuffer(row["level"], np.uint8)
     return out.reshape(-1)
 
@@ -316,7 +316,11 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     near = [F.when(f(F.col("band")).over(in_order) == F.col("band") + d, f(F.col("blocks")).over(in_order)).otherwise(0) for f, d in ((F.lag, -1), (F.lead, 1))]
     size = size.withColumn("before", near[0]).withColumn("after", near[1])
     # a block's number: band * 2**20 + place in the band
-    each = [F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1), lambda k, d=d: (F.col("band") + d) * (1 << 20) + k)).otherwise(F.array().cast("array<bigint>")) for c, d in (("before", -1), ("blocks", 0), ("after", 1))]
+    def numbers(blocks: str, d: int) -> Column:
+        first = (F.col("band") + d) * (1 << 20)
+        return F.when(F.col(blocks) > 0, F.sequence(first, first + F.col(blocks) - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    each = [numbers("before", -1), numbers("blocks", 0), numbers("after", 1)]
     block = F.col("band") * (1 << 20) + F.pmod(F.xxhash64("class"), F.col("blocks"))
     home = banded.join(size, ["root", "band"]).select("root", (F.col("tokens") <= block_tokens).alias("single"), block.alias("block"), F.concat(*each).alias("others"), F.col(f"one.{key}").alias("__id"), F.col("one.text_hash").alias("__hash"))
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), F.xxhash64(text).alias("__of"))
