@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeflux.llm.bloom import likely_hit
 from plumeflux.llm.components import connected_components
 from plumeflux.llm.text import distinct, mix, shingle_sets
 from plumeflux.session import cut_lineage
@@ -323,7 +324,8 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     each = [numbers("before", -1), numbers("blocks", 0), numbers("after", 1)]
     block = F.col("band") * (1 << 20) + F.pmod(F.xxhash64("class"), F.col("blocks"))
     home = banded.join(size, ["root", "band"]).select("root", (F.col("tokens") <= block_tokens).alias("single"), block.alias("block"), F.concat(*each).alias("others"), F.col(f"one.{key}").alias("__id"), F.col("one.text_hash").alias("__hash"))
-    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), F.xxhash64(text).alias("__of"))
+    hit = likely_hit(home.select("__hash"), banded.count(), F.xxhash64(F.xxhash64(text)))  # other texts do not move
+    texts = docs.where(hit).select(F.col(key).alias("__key"), F.col(text).alias("text"), F.xxhash64(text).alias("__of"))
     texts = texts.join(home, texts["__key"].eqNullSafe(home["__id"]) & (texts["__of"] == home["__hash"]))
     pairs = F.transform("others", lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
     dealt = texts.withColumn("__pair", F.explode(pairs)).select("root", "single", "__pair.i", "__pair.j", "__pair.side", "text")
