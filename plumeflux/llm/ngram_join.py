@@ -217,13 +217,14 @@ def token_levels(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw, bitmap = zlib.decompress(packed.as_py()), 1 << (CHUNK_BITS - 3)
                 have = np.unpackbits(np.frombuffer(raw[:bitmap], np.uint8)).astype(bool)
-                sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))[have] += np.frombuffer(raw[bitmap:], np.uint8)
+                sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.uint32))[have] += np.frombuffer(raw[bitmap:], np.uint8)
         levels = [np.minimum(255, 12 * np.log2(np.maximum(s, 1))).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "level"])
 
     loads = docs.select(F.col(text)).mapInArrow(count, "chunk int, load binary")
     out = np.zeros((chunks, 1 << CHUNK_BITS), np.uint8)
-    for row in loads.repartition(16, "chunk").mapInArrow(total, "chunk int, level binary").collect():
+    levels = cut_lineage(loads.repartition(64, "chunk").mapInArrow(total, "chunk int, level binary"))
+    for row in levels.coalesce(4).toLocalIterator():  # a quarter at a time
         out[row["chunk"]] = np.frombuffer(row["level"], np.uint8)
     return out.reshape(-1)
 
