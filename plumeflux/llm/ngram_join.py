@@ -301,6 +301,7 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     """
     levels = docs.sparkSession.sparkContext.broadcast(token_levels(docs, width, text))
     keys = cut_lineage(class_keys(docs, levels, width, percent, text))
+    levels.destroy()  # the keys are a table now
     across = keys.where("m IS NULL").select("c", F.min("c").over(Window.partitionBy("seg")).alias("m")).where("c <> m")
     ties = across.unionByName(keys.where("m IS NOT NULL").select("c", "m")).distinct()
     clusters = cut_lineage(connected_components(ties.select(F.col("c").alias("a"), F.col("m").alias("b"))))
