@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,14 +137,14 @@ def mix_sources(
     schema = rows.schema
 
     def settle(last: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", key, "__u"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-            p = pivot(pdf["size"].to_numpy(), pdf["__p"].to_numpy(dtype=np.float64), pdf["__u"].to_numpy())
+        def run(group: pa.Table) -> pa.Table:
+            # keys stay in Arrow: as numbers of pandas, long ones beside a null would change
+            group = group.take(pc.sort_indices(group, [("size", "descending"), (key, "ascending"), ("__u", "ascending")]))
+            p = pivot(*(group[c].to_numpy() for c in ("size", "__p", "__u")))
             if last:
                 left = (p > 0.0) & (p < 1.0)
                 p[left] = np.round(p[left])
-            pdf["__p"] = p
-            return pdf
+            return group.set_column(group.column_names.index("__p"), "__p", pa.array(p))
 
         return run
 
@@ -153,7 +153,7 @@ def mix_sources(
         levels, width = levels + 1, -(-width // FAN_IN)
     done, open_rows = [], rows
     for level in range(levels):
-        placed = open_rows.groupBy(source, "__bucket").applyInPandas(settle(level == levels - 1), schema)
+        placed = open_rows.groupBy(source, "__bucket").applyInArrow(settle(level == levels - 1), schema)
         if level < levels - 1:
             placed = cut_lineage(placed)
             between = (F.col("__p") > 0) & (F.col("__p") < 1)

@@ -6,8 +6,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,17 +146,19 @@ def pack(pieces: DataFrame, window: int = WINDOW, per_task: int = PIECES_PER_TAS
     deal = F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(groups))
     copies = F.pmod(F.monotonically_increasing_id(), F.lit(groups)) if groups > 1 else F.lit(0)
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = int(pdf["__group"].iloc[0])
-        order = [c for c in pdf.columns if c not in ("__group", "length", "ids", "__copy")]
-        pdf = pdf.sort_values(["length", *order], ascending=[False, *[True] * len(order)], kind="stable")
-        where, offset = best_fit_decreasing(pdf["length"].to_numpy(), window)
-        return pdf.drop(columns=["__group", "__copy"]).assign(sequence_id=(group << 32) + where, offset=offset)
+    def place(dealt: pa.Table) -> pa.Table:
+        # columns stay in Arrow: as numbers of pandas, long keys beside a null would change
+        group = dealt["__group"][0].as_py()
+        order = [c for c in dealt.column_names if c not in ("__group", "length", "ids", "__copy")]
+        dealt = dealt.take(pc.sort_indices(dealt, [("length", "descending"), *[(c, "ascending") for c in order]]))
+        where, offset = best_fit_decreasing(dealt["length"].to_numpy(), window)
+        placed = dealt.drop_columns(["__group", "__copy"]).append_column("sequence_id", pa.array((group << 32) + where, pa.int64()))
+        return placed.append_column("offset", pa.array(offset, pa.int64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     # repeated rows share their hash: a share of the row number keeps a third of all rows from one group
     spread_out = pieces.withColumn("__copy", copies.cast("bigint")).withColumn("__group", F.pmod(deal + F.col("__copy"), F.lit(groups)))
-    return spread_out.groupBy("__group").applyInPandas(place, f"{fields}, sequence_id bigint, offset bigint")
+    return spread_out.groupBy("__group").applyInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
