@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumeflux.llm import exact_dedup, mixing, ngram_join, packing, quality
 from plumeflux.llm.queries import vocabulary
-from plumeflux.session import cut_lineage, ship_package
+from plumeflux.session import PLACE, cut_lineage, ship_package, with_places
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +31,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. Rows equal in id, source and size share their copies evenly, rounded down."""
-    taken = mixing.mix_sources(docs)
-    same = ("doc_id", "source", "size")
-    copies = taken.groupBy(*same).agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("__copies")).where("__copies > 0")
-    copies = copies.select(*[F.col(c).alias(f"__{c}") for c in same], "__copies")
-    sized = mixing.with_sizes(docs, docs.columns, size="__words")
-    joined = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Every document as often as the mix takes it. Each row has copies of its own, also where ids are null or repeated."""
+    placed = with_places(docs)
+    taken = mixing.mix_sources(placed, keep=PLACE).where("copies > 0").select(*PLACE, "copies")
+    joined = placed.join(taken, list(PLACE))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

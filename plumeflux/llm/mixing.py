@@ -104,6 +104,7 @@ def mix_sources(
     text: str = "text",
     seed: int = 17,
     rows_per_task: int = ROWS_PER_TASK,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """How often the mix takes each document: key, source, size, source_size, target, copies, taken.
 
@@ -113,26 +114,29 @@ def mix_sources(
     open rows meet in a tree of ``FAN_IN`` groups a level until one is left for each source, which goes to
     the nearer whole number. So a source misses its target by at most half of one document.
 
-    Draws hash the key, size and seed: reruns agree whatever the partitioning. Texts without words take
-    0. Null sources are a source of their own; null keys and repeated rows take part like other rows.
+    Draws hash the key, size and seed: reruns agree whatever the partitioning. Columns to ``keep`` come
+    along unread (a row's place, say); draws then hash the text too, so rows with null or repeated keys
+    have draws of their own. Texts without words take 0. Null sources are a source of their own; null keys and repeated rows take part like other rows.
     """
-    sizes = cut_lineage(with_sizes(docs, [key, source], text))
+    marked = docs.withColumn("__mark", F.xxhash64(text)) if keep else docs
+    own = [key, "size", *(["__mark"] if keep else [])]
+    sizes = cut_lineage(with_sizes(marked, [key, source, *keep, *own[2:]], text))
     targets = cut_lineage(source_targets(sizes, weights, share, cap, source))
     most = targets.agg(F.max("n_rows")).first()[0]
     if not most:
         none = sizes.limit(0)
-        return none.select(key, source, "size", *[F.lit(0).cast(t).alias(c) for c, t in (("source_size", "bigint"), ("target", "double"), ("copies", "bigint"), ("taken", "bigint"))])
+        return none.select(key, source, "size", *keep, *[F.lit(0).cast(t).alias(c) for c, t in (("source_size", "bigint"), ("target", "double"), ("copies", "bigint"), ("taken", "bigint"))])
     buckets = F.ceil(F.col("n_rows") / F.lit(rows_per_task))
-    draw = F.pmod(F.xxhash64(F.col(key), F.col("size"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64(*own, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     copies = F.col("target") / F.col("source_size")
     rows = sizes.join(targets.withColumnRenamed(source, "__s"), F.col(source).eqNullSafe(F.col("__s"))).drop("__s")
     rows = rows.withColumn("__c", F.when(F.col("source_size") > 0, copies).otherwise(0.0))
     rows = rows.select(
-        key, source, "size", "source_size", "target",
+        key, source, "size", *keep, "source_size", "target",
         F.floor("__c").alias("__whole"),
         F.when(F.col("size") > 0, F.col("__c") - F.floor("__c")).otherwise(0.0).alias("__p"),
         draw.alias("__u"),
-        F.pmod(F.xxhash64(F.col(key), F.col("size"), F.lit(seed + 1)), buckets).alias("__bucket"),
+        F.pmod(F.xxhash64(*own, F.lit(seed + 1)), buckets).alias("__bucket"),
     )
     schema = rows.schema
 
@@ -164,4 +168,4 @@ def mix_sources(
     for more in done[1:]:
         out = out.unionByName(more)
     times = F.col("__whole") + F.col("__p").cast("bigint")
-    return out.select(key, source, "size", "source_size", "target", times.alias("copies"), (times * F.col("size")).alias("taken"))
+    return out.select(key, source, "size", *keep, "source_size", "target", times.alias("copies"), (times * F.col("size")).alias("taken"))

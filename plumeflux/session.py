@@ -8,7 +8,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PLACE = ("__file", "__row")
 
 
 def local_session(cores: str = "8", app: str = "plumeflux") -> SparkSession:
@@ -66,3 +70,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_places(docs: DataFrame) -> DataFrame:
+    """``docs`` and the place of every row (file path and row index, columns of PLACE), which tells equal rows apart.
+
+    ``docs`` is a table that was read, else it is written first.
+    """
+    place = (F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return cut_lineage(docs).select("*", *place)
