@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumeflux.llm.bloom import likely_hit
 from plumeflux.llm.components import connected_components
 from plumeflux.llm.text import distinct, mix, shingle_sets
-from plumeflux.session import cut_lineage
+from plumeflux.session import PLACE, cut_lineage, with_places
 
 BLOCK_TOKENS = 4 << 20  # 32 MB of hashes
 LOAD_BITS = 26  # counters of token loads: 64 MB of levels at every size of the input
@@ -172,8 +172,8 @@ def _new_sets(batch: pa.RecordBatch, width: int, said: set[bytes]) -> Iterator[t
             yield digest, tokens
 
 
-def set_classes(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles, class (digest of its set; null without shingles), text_hash. One scan, no shuffle."""
+def set_classes(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Per row: key, n_shingles, class (digest of its set; null without shingles), text_hash, columns to ``keep``. One scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +181,12 @@ def set_classes(docs: DataFrame, width: int, key: str = "doc_id", text: str = "t
             for tokens in shingle_sets(batch.column(1), width):
                 sizes.append(len(tokens))
                 digests.append(_digest(tokens) if len(tokens) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_shingles", "class", "text_hash"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_shingles", "class", "text_hash", *keep])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text), F.xxhash64(text)).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, class binary, text_hash bigint")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(key), F.col(text), F.xxhash64(text), *keep).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, class binary, text_hash bigint{kept}")
 
 
 def token_levels(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
@@ -356,11 +357,18 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, key: st
     return out.select(key, "n_shingles", F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of every group of near duplicates: the row that holds the group's smallest key.
+def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``docs`` with one row of every group of near duplicates: the first by key (null last), hash of the text and place.
 
-    Rows without words stay. Keys are taken as unique, as in documents; rows with a null key stay.
+    What goes is told by its place, so rows with null or repeated keys go or stay by their own text. Rows
+    without words stay.
     """
-    comp = ngram_components(docs, width, percent, key, text)
-    gone = comp.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone"))
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    placed = with_places(docs)
+    classes = cut_lineage(set_classes(placed, width, key, text, PLACE))
+    links = connected_components(jaccard_links(docs, classes, width, percent, key, text, block_tokens))
+    sets = classes.where(F.col("class").isNotNull())
+    named = sets.join(links, F.col("class") == F.col("node"), "left").withColumn("__root", F.coalesce("root", "class"))
+    order = F.struct(F.col(key).isNull(), key, "text_hash", *PLACE)
+    groups = named.groupBy("__root").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    others = named.join(groups, "__root").where(~order.eqNullSafe(F.col("__first")))
+    return placed.join(others.select(*PLACE), list(PLACE), "left_anti").select(*docs.columns)
