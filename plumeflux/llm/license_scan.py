@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,20 @@ from plumeflux.llm.url_filter import lower_ascii
 WIDTH = 5
 PERCENT = 80
 
-# Notices to look for (name, text).
+# One-sentence notices to look for (name, text).
 LICENSES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
 ]
+# What may stand around a word without being part of it.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a9\u00ab\u00bb\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """Whole licences, file headers and longer notices: (name, text) of every file in the folder ``licenses``. Read by the driver."""
+    return [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,8 +37,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of characters other than space and 0x09-0x0D, A-Z lower-cased; null counts as empty."""
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
+    """Runs of characters other than space and 0x09-0x0D, A-Z lower-cased, without MARKS at their ends; null counts as empty.
+
+    Words of MARKS only, such as the signs of a comment, do not count.
+    """
+    parts = F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+")
+    return F.filter(F.transform(parts, lambda w: F.btrim(w, F.lit(MARKS))), lambda w: w != "")
 
 
 def shingles(w: Column, width: int = WIDTH) -> Column:
@@ -69,15 +82,15 @@ def plan(size: int, percent: int = PERCENT, miss: float = 1e-3) -> tuple[int, in
     return step, 1 if j >= 1 else math.ceil(math.log(miss) / math.log(1 - j))
 
 
-def retriever(name: str, t: list[int], percent: int) -> Callable[[Column], Column]:
-    """From a text's shingle hashes: the template, where some band of some window agrees with it; else null."""
+def retriever(name: str, t: list[int], least: list[int], percent: int) -> Callable[[Column], Column]:
+    """From a text's shingle hashes: the template, where some band of some window agrees with it (``least`` of a band); else null."""
     step, bands = plan(len(t), percent)
-    own = F.array(*[F.lit(v) for v in t])
+    own = F.lit(np.array(t, np.int64))
 
     def ask(s: Column) -> Column:
         found = F.lit(False)
         for band in range(bands):
-            found = found | F.array_contains(window_minima(s, len(t), step, band), F.array_min(banded(own, band)))
+            found = found | F.array_contains(window_minima(s, len(t), step, band), F.lit(least[band]))
         # a band agrees only where the template's least shingle occurs, so other texts need no windows
         return F.when(F.arrays_overlap(s, own) & found, F.struct(F.lit(name).alias("name"), own.alias("t")))
 
@@ -93,6 +106,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]], percent: int = PERCE
     of that length; exact containment is then taken over all windows of the text, so bands may miss (with
     a chance below 0.001 a passage) but never add. Templates with fewer than ``width`` words are an
     error. A list of templates is small by its nature (some hundreds) and travels in the plan.
+    ``first_word`` counts the words that ``words`` gives, from 0.
 
     Null or short texts match nothing. Null keys and repeated rows give rows of their own. One scan, no
     shuffle; long texts stay within their row.
@@ -101,13 +115,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]], percent: int = PERCE
         return docs.limit(0).select(F.col(key), *[F.lit(None).cast(t).alias(c) for c, t in (("license", "string"), ("shingles_found", "int"), ("shingles_total", "int"), ("first_word", "int"))])
     spark = docs.sparkSession
     listed = spark.createDataFrame(templates, "name string, body string").select("name", F.array_distinct(shingles(words(F.col("body")), width)).alias("t"))
-    listed = [(r["name"], list(r["t"])) for r in listed.collect()]
-    if any(not t for _, t in listed):
+    rows = listed.select("name", "t", F.size("t").alias("n")).collect()
+    if any(not r["n"] for r in rows):
         raise ValueError("a template has fewer words than a shingle")
+    most = max(plan(r["n"], percent)[1] for r in rows)
+    least = [r[0] for r in listed.select(F.array(*[F.array_min(banded(F.col("t"), band)) for band in range(most)])).collect()]
 
-    retrieved = [retriever(name, t, percent) for name, t in listed]
+    retrieved = [retriever(r["name"], list(r["t"]), mins, percent) for r, mins in zip(rows, least)]
+    anything = F.lit(np.unique(np.array([v for r in rows for v in r["t"]], np.int64)))
     # the text's shingles are made once a row, then asked for every template; a filter here would make them again
-    both = let(shingles(words(F.col(text)), width), lambda s: F.struct(s.alias("s"), F.filter(F.array(*[r(s) for r in retrieved]), lambda c: c.isNotNull()).alias("c")))
+    def ask_all(s: Column) -> Column:
+        # most texts share no shingle with any template
+        return F.when(F.arrays_overlap(s, anything), F.filter(F.array(*[r(s) for r in retrieved]), lambda c: c.isNotNull()))
+
+    both = let(shingles(words(F.col(text)), width), lambda s: F.struct(s.alias("s"), ask_all(s).alias("c")))
     candidates = docs.select(F.col(key), both.alias("__b")).select(key, F.col("__b.s").alias("__s"), F.explode("__b.c").alias("c"))
     size = F.size("c.t")
 

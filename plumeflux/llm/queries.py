@@ -111,7 +111,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.LICENSES)
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.LICENSES + license_scan.license_texts())
 
 
 @query
