@@ -309,22 +309,18 @@ def k07(t: Inputs) -> DataFrame:
 
 
 def pipeline(t: Inputs, method: str = "combined", option: str = "B") -> tuple[DataFrame, DataFrame]:
-    cfg = replace(
-        CFG,
-        path_method=method,
-        decay_option=option,
-        quality=(("rsq_detrend", ">=", 0.0), ("a2sigpct", "<=", 80.0), ("a4sigpct", "<=", 80.0), ("nobs", ">=", 5.0)),
-    )
-    hours = t.grid.where("valid_time = TIMESTAMP '2024-01-15 00:00:00'")
-    fields = hours.withColumn("h", F.explode(F.sequence(F.lit(-72), F.lit(71)))).withColumns(
+    """All days of the fields, each for its 24 hours; a path's overpass is its own last time, so its clock runs within those days."""
+    cfg = replace(CFG, path_method=method, decay_option=option)
+    fields = t.grid.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumns(
         {"cosz": F.lit(0.5), "ps": F.lit(None).cast("double"), "oh": F.lit(1e-13)}
     )
-    base = T.micros(F.expr("TIMESTAMP '2024-02-01 00:00:00'")) + F.col("h") * T.HOUR_US
+    base = T.micros("valid_time") + F.col("h") * T.HOUR_US
+    last = t.trajectory.groupBy(*KEY).agg(F.max("tstmp").alias("t_overpass"))
     mid = fields.withColumn("valid_time", T.from_micros(base + T.HOUR_US // 2)).drop("h")
     top = fields.withColumn("valid_time", T.from_micros(base)).drop("h")
     inp = jobs.PipelineInputs(
         pixels=t.pixel,
-        trajectory=fixture_traj(t),
+        trajectory=fixture_traj(t).drop("t_overpass").join(last, KEY),
         fields=mid,
         grid=SPEC,
         keys=("facility_id", "scene"),

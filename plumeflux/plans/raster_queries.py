@@ -80,8 +80,8 @@ def j08(t: Inputs) -> DataFrame:
 
 
 def scene_spine(t: Inputs) -> DataFrame:
-    """Spine through the brighter half of each scene, from its seed."""
-    plume = t.pixel.where("no2 > 45")
+    """Spine through the plume mask of each scene, from its seed."""
+    plume = rs.mask_pixels(cut_lineage(scene_mask(t)), t.pixel, KEY)
     return rs.least_cost_spine(plume, scene_seeds(t), KEY)
 
 
@@ -91,11 +91,12 @@ def j04(t: Inputs) -> DataFrame:
 
 
 def scene_clock(t: Inputs) -> DataFrame:
-    """A trajectory per scene: 15-minute steps along the scene's first row."""
-    return t.pixel.where("i = 0").select(
+    """A trajectory per scene: 15-minute steps along all of its rows, to and fro."""
+    step = F.col("i") * 64 + F.when(F.col("i") % 2 == 0, F.col("j")).otherwise(63 - F.col("j"))
+    return t.pixel.select(
         "scene",
-        F.col("j").alias("step_id"),
-        F.timestamp_micros(F.lit(1704067200000000) + F.col("j") * 900000000).alias("tstmp"),
+        step.alias("step_id"),
+        F.timestamp_micros(F.lit(1704067200000000) + step * 900000000).alias("tstmp"),
         "lat",
         "lon",
         (4.0 + F.col("j") % 3).alias("wso"),
