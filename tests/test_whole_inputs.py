@@ -46,3 +46,10 @@ def test_spine_goes_through_the_mask(t):
 def test_scene_clock_has_every_pixel(t):
     clock = raster_queries.scene_clock(t)
     assert clock.count() == t.pixel.count() == clock.select("scene", "step_id").distinct().count()
+
+
+def test_transects_have_every_point(spark):
+    from plumeflux.plans import QUERIES
+
+    per = QUERIES["h04_transect_points_all"](spark, SF).groupBy("facility_id", "step_id").agg(F.count_distinct("k").alias("n"), F.count(F.lit(1)).alias("rows"))
+    assert {(r.n, r.rows) for r in per.select("n", "rows").distinct().collect()} == {(401, 401)}
