@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeflux.llm import exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
+from plumeflux.llm import centroid_filter, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality, slack_packing, token_counts, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,6 +139,40 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_filter.cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
+def _rounds(n: int) -> str:
+    """SQL of ``n`` rounds: nearest centroid of every vector, then floors of the means."""
+    near = """SELECT vec_id, e, arg_min(k, (d, k)) AS k, min(d) AS d FROM
+      (SELECT v.*, c.k, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.c[i]) * (v.e[i] - c.c[i]))) AS d FROM v, {c} c) GROUP BY vec_id, e"""
+    text = ""
+    for r in range(n):
+        text += f"""a{r} AS MATERIALIZED ({near.format(c=f'c{r}')}),
+        s{r} AS (SELECT k, i, sum(e[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY k, i),
+        m{r} AS (SELECT k, list((s - (s % n + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY k),
+        c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m ON o.k = m.k),
+        """
+    return text + f"a AS MATERIALIZED ({near.format(c=f'c{n}')})"
+
+
+ORACLES["op13_centroid_clustering"] = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS k, e AS c FROM v QUALIFY k < 40),
+{_rounds(5)}
+SELECT vec_id, a.k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN c5 ON a.k = c5.k
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
