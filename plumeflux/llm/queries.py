@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeflux.llm import centroid_filter, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality, slack_packing, token_counts, topk, url_filter
+from plumeflux.llm import centroid_filter, exact_dedup, filter_audit, license_scan, line_dedup, mixing, ngram_join, packing, quality, slack_packing, token_counts, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,6 +144,32 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_files(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH RECURSIVE lab AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN lab ON w.doc_id = lab.doc_id),
+n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+orders AS (SELECT '' AS o UNION ALL SELECT o || c FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) t(c) WHERE NOT contains(o, c)),
+steps AS (SELECT o AS filter_order, s::INTEGER AS step, o[s] AS c, o[:s - 1] AS earlier FROM orders, range(1, 6) t(s) WHERE length(o) = 5),
+r AS (SELECT part, filter_order, step, c, fails LIKE '%' || c || '%' AS hit, len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AND earlier <> '' AND fails <> '' AS gone, fails, n, good, toxic
+  FROM n, steps),
+f AS (SELECT part, filter_order, step, c, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = c), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM f
+"""
+
+
 @query
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_filter.cluster_report(_table(spark, sf_dir, "embeddings"))
