@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +20,7 @@ from plumeflux.session import ensure_checkpoint_dir
 
 DUPLICATE = "E"
 WINDOW_ROWS = 100_000  # rows that a task combines at a time
+BUCKET_TEXTS = 128  # texts that share a state entry, about
 
 
 def words(text: Column) -> Column:
@@ -58,16 +60,17 @@ def failures(docs: DataFrame, labels: DataFrame, filters: Mapping[str, Callable[
     return joined.select("digest", "id", "part", (F.col("mask") + yes("good", len(filters) + 1) + yes("toxic", len(filters) + 2)).alias("flags"))
 
 
-def combine(window_rows: int, duplicate: int):
+def combine(window_rows: int, duplicate: int, bits: int):
     """Equal texts of a task meet before the shuffle.
 
     Every row is counted here: as a duplicate if an equal text with a smaller id is in the same window, as
-    none otherwise. Counts go on under a key of the task; of each text only the rows of its smallest id go on
-    to its state, which corrects the counts where another task or batch has a smaller id.
+    none otherwise. Counts go on under a (negative) key of the task; of each text only the rows of its smallest
+    id go on to its state, which corrects the counts where another task or batch has a smaller id. State
+    keys are the first ``bits`` bits of the text's digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = f"counts of task {TaskContext.get().partitionId()}".encode()
+        mark = -1 - TaskContext.get().partitionId()
         texts: dict[bytes, tuple[object, int, dict[str, int]]] = {}
         counts: dict[tuple[str, int], int] = {}
         schema = None
@@ -76,12 +79,13 @@ def combine(window_rows: int, duplicate: int):
             counts[part, flags] = counts.get((part, flags), 0) + n
 
         def flush() -> pa.RecordBatch:
-            rows = [(d, i, p, f, n) for d, (i, f, parts) in texts.items() for p, n in parts.items()]
-            rows += [(mark, None, p, f, n) for (p, f), n in counts.items()]
+            rows = [(int.from_bytes(d[:8], "big") >> (64 - bits), d, i, p, f, n) for d, (i, f, parts) in texts.items() for p, n in parts.items()]
+            rows += [(mark, None, None, p, f, n) for (p, f), n in counts.items()]
             texts.clear()
             counts.clear()
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), schema[1].type, pa.string(), pa.int32(), pa.int64()))], names=["digest", "id", "part", "flags", "n"])
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.binary(), schema[1].type, pa.string(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["bucket", "digest", "id", "part", "flags", "n"])
 
         seen = 0
         for batch in batches:
@@ -114,34 +118,36 @@ def combine(window_rows: int, duplicate: int):
 
 
 def retract(duplicate: int):
-    """Keyed text state: the smallest id of a text so far, its flags and its rows per part.
+    """Keyed text state: per text the smallest id so far, its flags and its rows per part.
 
     A smaller id retracts the rows of the earlier one from the counts and puts them back as duplicates; a
-    larger id's own rows are retracted so. Nothing goes out for a text that is met for the first time.
+    larger id's own rows are retracted so. Nothing goes out for a text that is met for the first time. A
+    state entry holds the texts of one bucket, as parallel lists: a call of Python per text costs too much.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if len(key[0]) != 32:  # counts of a task
+        if key[0] < 0:  # counts of a task
             for pdf in frames:
                 yield pdf[["part", "flags", "n"]]
             return
-        held = state.get if state.exists else None
-        smallest, flags, parts = (held[0], held[1], dict(zip(held[2], held[3]))) if held else (None, 0, {})
+        held: dict[bytes, tuple[object, int, dict[str, int]]] = {}
+        for digest, i, f, part, n in zip(*state.get) if state.exists else ():
+            held.setdefault(bytes(digest), (i, f, {}))[2][part] = n
         out: list[tuple[str, int, int]] = []
-        changed = False
         for pdf in frames:
-            for i, p, f, n in zip(pdf["id"].tolist(), pdf["part"].tolist(), pdf["flags"].tolist(), pdf["n"].tolist()):
+            for digest, i, part, f, n in zip(*(pdf[c].tolist() for c in ("digest", "id", "part", "flags", "n"))):
+                digest = bytes(digest)
+                smallest, flags, parts = held.get(digest, (None, 0, {}))
                 if smallest is None or i < smallest:
                     for q, m in parts.items():
                         out += [(q, flags, -m), (q, flags | duplicate, m)]
-                    smallest, flags, parts, changed = i, f, {p: n}, True
+                    held[digest] = (i, f, {part: n})
                 elif i == smallest:
-                    parts[p] = parts.get(p, 0) + n
-                    changed = True
+                    parts[part] = parts.get(part, 0) + n
                 else:
-                    out += [(p, f, -n), (p, f | duplicate, n)]
-        if changed:
-            state.update((smallest, flags, list(parts), list(parts.values())))
+                    out += [(part, f, -n), (part, f | duplicate, n)]
+        entries = [(d, i, f, q, m) for d, (i, f, parts) in held.items() for q, m in parts.items()]
+        state.update(tuple(list(c) for c in zip(*entries)))
         if out:
             yield pd.DataFrame(out, columns=["part", "flags", "n"])
 
@@ -176,10 +182,9 @@ def count_files(
     stream = stream_files(own, path, max_files)
     rows = failures(stream, labels, filters, key, text, part)
     kind = rows.schema["id"].dataType.simpleString()
-    combined = rows.mapInArrow(combine(window_rows, duplicate), f"digest binary, id {kind}, part string, flags int, n bigint")
-    changes = combined.groupBy("digest").applyInPandasWithState(
-        retract(duplicate), "part string, flags int, n bigint", f"id {kind}, flags int, parts array<string>, rows array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
+    combined = rows.mapInArrow(combine(window_rows, duplicate, bucket_bits(spark, path, folder)), f"bucket bigint, digest binary, id {kind}, part string, flags int, n bigint")
+    state = f"digests array<binary>, ids array<{kind}>, flags array<int>, parts array<string>, rows array<bigint>"
+    changes = combined.groupBy("bucket").applyInPandasWithState(retract(duplicate), "part string, flags int, n bigint", state, "append", GroupStateTimeout.NoTimeout)
     log = changes.mapInArrow(add_up, "part string, flags int, n bigint")
     sink = log.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/log")
     sink.trigger(availableNow=True).start().awaitTermination()
@@ -187,6 +192,22 @@ def count_files(
     return held.groupBy("part", "flags").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+def bucket_bits(spark: SparkSession, path: str, folder: str) -> int:
+    """Bits of a digest that name its bucket: from the rows of the first call's files, then as the folder has it.
+
+    Should the table outgrow its first size many times, entries grow with it; a new folder deals anew.
+    """
+    try:
+        held = spark.read.schema("bits int").parquet(f"{folder}/buckets").first()
+    except AnalysisException:  # no such table yet
+        held = None
+    if held:
+        return held["bits"]
+    bits = (spark.read.parquet(path).count() // BUCKET_TEXTS).bit_length()
+    spark.createDataFrame([(bits,)], "bits int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/buckets")
+    return bits
+
+
 def audit_table(counts: DataFrame, letters: str) -> DataFrame:
     """Per part, order of the filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
