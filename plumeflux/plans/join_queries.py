@@ -87,22 +87,13 @@ def good_pixels(t: Inputs) -> DataFrame:
     return filter_pixels(t.pixel, CFG.qa_min)
 
 
-@query(
-    "h04_transect_points",
-    f"WITH {SEGS} SELECT facility_id, step_id, k, round(lat_o,6) AS lat_ortho, round(lon_o,6) AS lon_ortho FROM pts WHERE k IN (0,100,200,300,400)",
-    "fx_trajectory",
-)
-def h04(t: Inputs) -> DataFrame:
-    return h04_all(t).where(F.col("k") % 100 == 0)
-
-
 @query(
     "h04_transect_points_all",
     f"WITH {SEGS} SELECT facility_id, step_id, k, round(lat_o,6) AS lat_ortho, round(lon_o,6) AS lon_ortho FROM pts",
     "fx_trajectory",
 )
 def h04_all(t: Inputs) -> DataFrame:
-    """All 401 points of every transect; ``h04_transect_points`` has the five of its SQL."""
+    """All 401 points of every transect."""
     return sm.transect_points(t.trajectory, KEY).select(
         *KEY, "step_id", F.col("k").cast("bigint").alias("k"), *[F.round(c, 6).alias(c) for c in ("lat_ortho", "lon_ortho")]
     )

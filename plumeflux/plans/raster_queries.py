@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumeflux.fixtures import Inputs
 from plumeflux.operators import paths as pt
 from plumeflux.operators import raster as rs
+from plumeflux.operators import spine as sp
 from plumeflux.operators.joins import nearest_path_row
 from plumeflux.plans.registry import query
 from plumeflux.plans.series_queries import NEAR, W, bear, hav
@@ -82,10 +83,29 @@ def j08(t: Inputs) -> DataFrame:
 def scene_spine(t: Inputs) -> DataFrame:
     """Spine through the plume mask of each scene, from its seed."""
     plume = rs.mask_pixels(cut_lineage(scene_mask(t)), t.pixel, KEY)
-    return rs.least_cost_spine(plume, scene_seeds(t), KEY)
-
-
-@query("j04_least_cost_spine")
+    return sp.least_cost_spine(plume, scene_seeds(t), KEY)
+
+
+#: Cheapest costs by relaxing every cell that got cheaper, then the way back from the farthest cell over the cheapest, lowest neighbour.
+SPINE = f"""{MASK}, plume AS MATERIALIZED (SELECT p.scene, p.i, p.j, p.no2, p.lat, p.lon FROM fx_pixel p JOIN mask USING (scene, i, j)),
+ origin AS (SELECT scene, coalesce(max({{'i': p.i, 'j': p.j}}) FILTER (p.i=(scene*7)%50 AND p.j=(scene*11)%64), min({{'i': p.i, 'j': p.j}})) AS o FROM plume p GROUP BY scene),
+ source AS (SELECT p.* FROM plume p JOIN origin g ON p.scene=g.scene AND p.i=g.o.i AND p.j=g.o.j),
+ dist(scene, i, j, no2, cost) USING KEY (scene, i, j) AS (SELECT scene, i, j, no2, 0e0 FROM source
+  UNION SELECT q.scene, q.i, q.j, q.no2, min(d.cost+1e0/(0.5e0*(d.no2+q.no2)+1e-9)) AS cost FROM dist d
+   JOIN plume q ON q.scene=d.scene AND abs(q.i-d.i)<=1 AND abs(q.j-d.j)<=1 AND (q.i<>d.i OR q.j<>d.j) AND 0.5e0*(d.no2+q.no2)+1e-9>0
+   LEFT JOIN recurring.dist r ON r.scene=q.scene AND r.i=q.i AND r.j=q.j
+   WHERE r.cost IS NULL OR d.cost+1e0/(0.5e0*(d.no2+q.no2)+1e-9)<r.cost GROUP BY q.scene, q.i, q.j, q.no2),
+ reached AS MATERIALIZED (SELECT d.*, p.lat, p.lon FROM dist d JOIN plume p USING (scene, i, j)),
+ ends AS (SELECT r.scene, r.i, r.j, row_number() OVER (PARTITION BY r.scene ORDER BY round({hav('s.lat','s.lon','r.lat','r.lon')},3) DESC, r.i, r.j) AS rn
+  FROM reached r JOIN source s ON r.scene=s.scene),
+ back AS (SELECT scene, i, j, 0 AS n FROM ends WHERE rn=1
+  UNION ALL SELECT scene, b.i, b.j, n+1 FROM (SELECT k.scene, k.n, arg_min({{'i': q.i, 'j': q.j}}, {{'c': q.cost+1e0/(0.5e0*(m.no2+q.no2)+1e-9), 'i': q.i, 'j': q.j}}) AS b
+   FROM back k JOIN reached m ON m.scene=k.scene AND m.i=k.i AND m.j=k.j AND m.cost>0
+   JOIN reached q ON q.scene=k.scene AND abs(q.i-k.i)<=1 AND abs(q.j-k.j)<=1 AND (q.i<>k.i OR q.j<>k.j) AND 0.5e0*(m.no2+q.no2)+1e-9>0 GROUP BY k.scene, k.n)),
+ spine AS (SELECT scene, i, j, lat, lon, max(n) OVER (PARTITION BY scene)-n AS step_id, count(*) OVER (PARTITION BY scene) AS cells FROM back JOIN reached USING (scene, i, j))"""
+
+
+@query("j04_least_cost_spine", f"WITH RECURSIVE {SPINE} SELECT scene, CAST(step_id AS BIGINT) AS step_id, i, j FROM spine WHERE cells>=2", "fx_pixel")
 def j04(t: Inputs) -> DataFrame:
     return scene_spine(t).select("scene", "step_id", "i", "j")
 
@@ -104,14 +124,6 @@ def scene_clock(t: Inputs) -> DataFrame:
     )
 
 
-@query("j05_spine_to_trajectory")
-def j05(t: Inputs) -> DataFrame:
-    path = pt.spine_to_trajectory(cut_lineage(scene_spine(t)), scene_clock(t), KEY)
-    return path.select(
-        "scene", "step_id", *[F.round(c, 6).alias(c) for c in ("lat", "lon", "age_km", "age_hours", "wso", "wd")]
-    )
-
-
 def _less(q: str, *polys: str) -> str:
     """SQL: q less its parts along earlier polynomials of the path, all orthogonal sums over its points."""
     return f"{q}-avg({q}) OVER f" + "".join(f"-sum({q}*{p}) OVER f/sum({p}*{p}) OVER f*{p}" for p in polys)
@@ -140,6 +152,35 @@ def i06(t: Inputs) -> DataFrame:
     return out.select("facility_id", "step_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+#: Smoothed by cubic polynomials in normalised distance, as ``i06_polynomial_smoothing``; steps of 900 s.
+TRAJECTORY = f"""{SPINE}, leg0 AS (SELECT *, lag(lat) OVER s AS plat, lag(lon) OVER s AS plon FROM spine WHERE cells>=2 WINDOW s AS (PARTITION BY scene ORDER BY step_id)),
+ far0 AS (SELECT scene, step_id, lat, lon, sum(coalesce({hav('plat','plon','lat','lon')},0e0)) OVER (PARTITION BY scene ORDER BY step_id)/1000e0 AS age FROM leg0),
+ t AS (SELECT *, (age-min(age) OVER f)/(max(age) OVER f-min(age) OVER f+1e-9) AS t, count(*) OVER f AS n FROM far0 WINDOW f AS (PARTITION BY scene)),
+ o1 AS (SELECT *, {_less('t')} AS p1 FROM t WINDOW f AS (PARTITION BY scene)),
+ q2 AS (SELECT *, t*p1 AS q FROM o1), o2 AS (SELECT * EXCLUDE (q), {_less('q', 'p1')} AS p2 FROM q2 WINDOW f AS (PARTITION BY scene)),
+ q3 AS (SELECT *, t*p2 AS q FROM o2), o3 AS (SELECT * EXCLUDE (q), {_less('q', 'p1', 'p2')} AS p3 FROM q3 WINDOW f AS (PARTITION BY scene)),
+ smooth AS (SELECT scene, step_id, n>=4 AS smoothed, CASE WHEN n>=4 THEN {_fitted('lat')} ELSE lat END AS lat, CASE WHEN n>=4 THEN {_fitted('lon')} ELSE lon END AS lon
+  FROM o3 WINDOW f AS (PARTITION BY scene)),
+ near AS (SELECT *, lag(lat) OVER s AS plat, lag(lon) OVER s AS plon, lead(lat) OVER s AS nlat, lead(lon) OVER s AS nlon, first_value(lat) OVER s AS lat0, first_value(lon) OVER s AS lon0
+  FROM smooth WINDOW s AS (PARTITION BY scene ORDER BY step_id)),
+ legs AS (SELECT *, sum(coalesce({hav('plat','plon','lat','lon')},0e0)) OVER (PARTITION BY scene ORDER BY step_id)/1000e0 AS age, {hav('lat','lon','nlat','nlon')}/900e0 AS speed FROM near),
+ winds AS (SELECT scene, avg(4e0+j%3) AS mean FROM fx_pixel GROUP BY scene)"""
+
+
+@query(
+    "j05_spine_to_trajectory",
+    f"""WITH RECURSIVE {TRAJECTORY} SELECT scene, CAST(step_id AS BIGINT) AS step_id, round(lat,6) AS lat, round(lon,6) AS lon, round(age,6) AS age_km, round(age/(mean*3.6e0+1e-9),6) AS age_hours,
+    round(coalesce(CASE WHEN smoothed THEN speed END, mean),6) AS wso,
+    round(CASE WHEN step_id=0 THEN {bear('lat','lon','nlat','nlon')} ELSE {bear('lat0','lon0','lat','lon')} END,6) AS wd FROM legs JOIN winds USING (scene)""",
+    "fx_pixel",
+)
+def j05(t: Inputs) -> DataFrame:
+    path = pt.spine_to_trajectory(cut_lineage(scene_spine(t)), scene_clock(t), KEY)
+    return path.select(
+        "scene", "step_id", *[F.round(c, 6).alias(c) for c in ("lat", "lon", "age_km", "age_hours", "wso", "wd")]
+    )
+
+
 @query(
     "j06_peak_chain",
     f"""WITH c AS (SELECT facility_id, step_id AS source_step, lat+0.01e0 AS lat, lon-0.01e0 AS lon,
@@ -174,14 +215,15 @@ def j06(t: Inputs) -> DataFrame:
       JOIN fx_pixel p ON p.scene=w.scene AND abs(p.i-w.i)<=1 AND abs(p.j-w.j)<=1
       WHERE p.no2>=lv.low AND NOT list_contains(w.seen, p.i*1000000+p.j) GROUP BY w.scene, w.way, w.seen) n),
     whole AS (SELECT * FROM walk WHERE scene IN (SELECT scene FROM walk WHERE way=1)),
-    met AS (SELECT a.scene, a.way, a.i, a.j, p.j AS step_id, 4e0+p.j%3 AS wso,
-      row_number() OVER (PARTITION BY a.scene, a.way ORDER BY {hav('(35e0+a.i*0.05e0)','(-95e0+a.j*0.05e0)','p.lat','p.lon')}, p.j) AS rn
-      FROM whole a JOIN fx_pixel p ON p.scene=a.scene AND p.i=0)
+    steps AS (SELECT scene, lat, lon, i*64+CASE WHEN i%2=0 THEN j ELSE 63-j END AS step_id, 4e0+j%3 AS wso FROM fx_pixel),
+    met AS (SELECT a.scene, a.way, a.i, a.j, p.step_id, p.wso,
+      row_number() OVER (PARTITION BY a.scene, a.way ORDER BY {hav('(35e0+a.i*0.05e0)','(-95e0+a.j*0.05e0)','p.lat','p.lon')}, p.step_id) AS rn
+      FROM whole a JOIN steps p ON p.scene=a.scene)
     SELECT scene, CAST(way AS BIGINT) AS way, i, j, step_id, wso FROM met WHERE rn=1""",
     "fx_pixel",
 )
 def j07(t: Inputs) -> DataFrame:
-    walk = rs.greedy_walk(t.pixel, scene_seeds(t), KEY)
+    walk = sp.greedy_walk(t.pixel, scene_seeds(t), KEY)
     met = nearest_path_row(
         walk.withColumnRenamed("step_id", "way"), scene_clock(t).withColumnRenamed("tstmp", "met_time"), KEY, ["way"], ["met_time", "wso"]
     )
