@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeflux.functions.geo import planar_dist2, wrap_lon
@@ -73,6 +73,54 @@ def within_radius(
     return pairs.where(F.col("d2") < radius_deg**2).drop("__cy", "__cx")
 
 
+BRANCH = 8  # cells of a level per cell of the next coarser one, in each direction
+
+
+def occupied_levels(rows: DataFrame, keys: Sequence[str], cells: Sequence[str], coords: Sequence[str], size: float, extent: float) -> list[DataFrame]:
+    """Occupied cells with the bounds of their rows, from cells of ``size`` to cells of at least ``extent``."""
+    low = {f"__lo{n}": F.min(x) for n, x in enumerate(coords)}
+    high = {f"__hi{n}": F.max(x) for n, x in enumerate(coords)}
+    levels = [rows.groupBy(*keys, *cells).agg(*[v.alias(k) for k, v in (low | high).items()])]
+    while size < extent:
+        size *= BRANCH
+        up = [F.floor(F.col(c) / F.lit(BRANCH)).cast("bigint").alias(c) for c in cells]
+        bounds = [F.min(k).alias(k) for k in low] + [F.max(k).alias(k) for k in high]
+        levels.append(levels[-1].groupBy(*keys, *up).agg(*bounds))
+    return levels
+
+
+def coarse_to_fine(points: DataFrame, levels: Sequence[DataFrame], keys: Sequence[str], ids: Sequence[str], cells: Sequence[str]) -> list[DataFrame]:
+    """Per level, from the coarsest: the cells that may hold a point's closest row (points have ``__l0``, ``__l1``, ...).
+
+    A cell stays when its nearest bound is not beyond the farthest bound of some cell of its level. Only
+    children of cells that stay are looked at, so a point meets a few cells per level instead of all.
+    """
+
+    def square(x: Column) -> Column:
+        return x * x
+
+    places = [c for c in points.columns if c.startswith("__l")]
+    near, far = [], []
+    for n, place in enumerate(places):
+        at, a, b = F.col(place), F.col(f"__lo{n}"), F.col(f"__hi{n}")
+        near.append(square(F.greatest(a - at, at - b, F.lit(0.0))))
+        far.append(square(F.greatest(F.abs(at - a), F.abs(at - b))))
+    lowest, highest = (reduce(lambda x, y: x + y, side) for side in (near, far))
+    reach = F.min("__max").over(Window.partitionBy(*ids))  # a few cells of one point
+
+    steps: list[DataFrame] = []
+    for level in reversed(levels):
+        if not steps:
+            met = points.join(level, list(keys))
+        else:
+            parents = [F.floor(F.col(c) / F.lit(BRANCH)).cast("bigint").alias(f"__up_{c}") for c in cells]
+            above = steps[-1].select(*ids, *places, *[F.col(c).alias(f"__up_{c}") for c in cells])
+            met = above.join(level.select("*", *parents), [*keys, *[f"__up_{c}" for c in cells]])
+        bounded = met.withColumns({"__min": lowest, "__max": highest}).withColumn("__u", reach)
+        steps.append(bounded.where(F.col("__min") <= F.col("__u")).select(*ids, *places, *cells))
+    return steps
+
+
 def nearest_neighbour(
     left: DataFrame,
     right: DataFrame,
@@ -82,13 +130,15 @@ def nearest_neighbour(
     tie: Sequence[str],
     carry: Sequence[str],
     size: float,
+    extent: float,
 ) -> DataFrame:
     """For each left row the closest right row of the same key; ties go to the lowest ``tie``.
 
     ``coords`` pairs left and right coordinate columns of a Euclidean space. Left rows with a
-    right row within ``size`` are settled in their own neighbourhood of cells. The others first
-    rank the occupied cells of their key by tight bounds and look only into cells that may hold
-    the closest row. ``d2`` is null when the key has no right row.
+    right row within ``size`` are settled in their own neighbourhood of cells. The others go down a
+    hierarchy of occupied cells by tight bounds, from cells of about ``extent`` (the usual range of a
+    coordinate; more is right but slower) to cells of ``size``, and look only into those that may hold the
+    closest row. ``d2`` is null when the key has no right row.
     """
     keys, left_id = list(keys), list(left_id)
     lcols, rcols = [a for a, _ in coords], [b for _, b in coords]
@@ -113,19 +163,9 @@ def nearest_neighbour(
         home = home.withColumn("__o", _offsets()).withColumn(c, F.col(c) + F.col("__o")).drop("__o")
     close = home.join(r, keys + cells).withColumn("d2", d2).where(F.col("d2") <= size * size).groupBy(*ids).agg(best)
 
-    bounds = {}
-    for n, x in enumerate(rcols):
-        bounds[f"__lo{n}"], bounds[f"__hi{n}"] = F.min(f"__r_{x}"), F.max(f"__r_{x}")
-    occupied = r.groupBy(*keys, *cells).agg(*[v.alias(k) for k, v in bounds.items()])
-    low, high = [], []
-    for n in range(len(coords)):
-        at, a, b = F.col(f"__l{n}"), F.col(f"__lo{n}"), F.col(f"__hi{n}")
-        low.append(square(F.greatest(a - at, at - b, F.lit(0.0))))
-        high.append(square(F.greatest(F.abs(at - a), F.abs(at - b))))
-    far = me.join(close.select(*ids), ids, "left_anti").join(occupied, keys)
-    far = far.withColumns({"__min": reduce(lambda a, b: a + b, low), "__max": reduce(lambda a, b: a + b, high)})
-    reach = far.groupBy(*ids).agg(F.min("__max").alias("__u"))
-    maybe = far.join(reach, ids).where(F.col("__min") <= F.col("__u")).select(*ids, *[f"__l{n}" for n in range(len(coords))], *cells)
+    far = me.join(close.select(*ids), ids, "left_anti")
+    steps = coarse_to_fine(far, occupied_levels(r, keys, cells, [f"__r_{x}" for x in rcols], size, extent), keys, ids, cells)
+    maybe = steps[-1].select(*ids, *[f"__l{n}" for n in range(len(coords))], *cells)
     rest = maybe.join(r, keys + cells).withColumn("d2", d2).groupBy(*ids).agg(best)
     found = close.unionByName(rest).select(*ids, "__best.*")
     return left.join(found, ids, "left")
@@ -135,7 +175,7 @@ def nearest_pixel(
     points: DataFrame, pixels: DataFrame, keys: Sequence[str], point_id: Sequence[str], lat: str, lon: str, size: float = 0.1
 ) -> DataFrame:
     """Closest pixel (planar degrees) to each point as ``i``, ``j``; ties go to the lowest index."""
-    return nearest_neighbour(points, pixels, keys, point_id, [(lat, "lat"), (lon, "lon")], ["i", "j"], ["i", "j"], size)
+    return nearest_neighbour(points, pixels, keys, point_id, [(lat, "lat"), (lon, "lon")], ["i", "j"], ["i", "j"], size, 360.0)
 
 
 def unit_vector(df: DataFrame, lat: str, lon: str, prefix: str) -> DataFrame:
@@ -152,7 +192,7 @@ def nearest_path_row(
     left = unit_vector(waypoints, "lat", "lon", "__w")
     right = unit_vector(traj, "lat", "lon", "__t")
     pairs = [(f"__w{a}", f"__t{a}") for a in "xyz"]
-    found = nearest_neighbour(left, right, keys, way_id, pairs, [order], [order, *carry], size=0.002)
+    found = nearest_neighbour(left, right, keys, way_id, pairs, [order], [order, *carry], size=0.002, extent=2.0)
     return found.drop("__wx", "__wy", "__wz", "d2")
 
 

@@ -123,3 +123,18 @@ def test_grid_interpolation_extrapolates_and_misses(spark):
     pts = spark.createDataFrame([(1, t, 0.3, 11.1), (2, t, -1.0, 9.0), (3, t, 1.5, 15.5), (4, None, 0.3, 11.1)], "id int, vt timestamp, lat double, lon double")
     got = {r["id"]: r["f"] for r in jn.grid_interp(pts, grid, spec, ["id"], "vt", ["f"]).collect()}
     assert got[1] == pytest.approx(0.9 - 5.55) and got[2] == pytest.approx(-3.0 - 4.5) and got[3] is None and got[4] is None
+
+
+def test_far_points_meet_few_cells_at_every_level(spark):
+    rng = np.random.default_rng(6)
+    n = 40_000  # fills some 8,000 cells
+    px = spark.createDataFrame(pd.DataFrame({"s": 1, "lat": rng.uniform(30, 39, n), "lon": rng.uniform(-90, -81, n)}))
+    rows = px.withColumns({"c0": jn.cell("lat", 0.1), "c1": jn.cell("lon", 0.1)})
+    levels = jn.occupied_levels(rows, ["s"], ["c0", "c1"], ["lat", "lon"], 0.1, 360.0)
+    assert levels[0].count() > 7_500 and levels[-1].count() <= 4
+    angle, d = rng.uniform(0, 2 * np.pi, 300), rng.uniform(8, 60, 300)
+    pt = pd.DataFrame({"s": 1, "id": np.arange(300), "__l0": 34.5 + d * np.sin(angle), "__l1": -85.5 + d * np.cos(angle)})
+    steps = jn.coarse_to_fine(spark.createDataFrame(pt), levels, ["s"], ["s", "id"], ["c0", "c1"])
+    most = [s.groupBy("id").count().agg({"count": "max"}).first()[0] for s in steps]
+    mean = [s.count() / 300 for s in steps]
+    assert len(steps) == len(levels) and max(most) <= 120 and max(mean) <= 40
