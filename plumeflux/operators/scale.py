@@ -7,9 +7,15 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeflux.session import cut_lineage
+
 # A dimension table is broadcast only when it has at most this many rows.
 BROADCAST_MAX_ROWS = 200_000
 SALTS = 8
+# A value bucket with more rows is cut into SPLIT parts; after so many cuts it holds a handful of doubles.
+BUCKET_ROWS = 200_000
+SPLIT = 1024
+REFINEMENTS = 4
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
@@ -67,24 +73,26 @@ def order_stats(
     keys: Sequence[str],
     col: str,
     ranks: Mapping[str, Callable[[Column], Column]],
+    task_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Exact order statistics per key without gathering a key's values in one task.
 
     ``ranks`` maps an output name to a function of the group size returning a 0-based rank.
-    A histogram over value buckets (combined map-side) finds the bucket of each rank; only
-    rows of those buckets are shuffled and ranked. Adds ``n``, the count of non-null values.
+    A histogram over value buckets (combined map-side) finds the bucket of each rank. While the rows of
+    a found bucket are more than ``task_rows``, it is cut evenly between its lowest and highest value
+    and the rank's place in it is found the same way. Only rows of the last buckets are ranked by
+    value, so no task orders more than about ``task_rows`` different values. Adds ``n``, the count of non-null values.
     """
     keys = list(keys)
     v = F.col(col).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"), value_bucket(v).alias("__b"))
-    hist = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    counted = [F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")]
+    hist = rows.groupBy(*keys, "__b").agg(*counted)
 
     everything = [F.lit(1)] if not keys else [F.col(k) for k in keys]
     by_key = Window.partitionBy(*everything)
     cumulative = by_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = hist.select(
-        *keys, "__b", "__n", F.sum("__n").over(cumulative).alias("__cum"), F.sum("__n").over(by_key).alias("n")
-    )
+    ranked = hist.select("*", F.sum("__n").over(cumulative).alias("__cum"), F.sum("__n").over(by_key).alias("n"))
     start = F.col("__cum") - F.col("__n")
     wanted = F.array(
         *[
@@ -93,9 +101,26 @@ def order_stats(
         ]
     )
     inside = F.filter(wanted, lambda s: (s["__off"] >= 0) & (s["__off"] < F.col("__n")))
-    targets = ranked.select(*keys, "__b", "n", F.explode(inside).alias("__t")).select(*keys, "__b", "n", "__t.*")
+    bucket = ["__b", "__n", "__lo", "__hi"]
+    targets = cut_lineage(ranked.select(*keys, *bucket, "n", F.explode(inside).alias("__t")).select(*keys, *bucket, "n", "__t.*"))
+
+    for _ in range(REFINEMENTS):
+        large = (F.col("__n") > task_rows) & (F.col("__lo") < F.col("__hi"))
+        if targets.where(large).isEmpty():
+            break
+        part = F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.lit(float(SPLIT - 1))).cast("bigint")
+        finer = (F.col("__b") * SPLIT + F.when(large, part).otherwise(0)).alias("__b")
+        rows = cut_lineage(rows.join(targets.select(*keys, *bucket).distinct(), keys + ["__b"]).select(*keys, "__v", F.col("__b").alias("__old"), finer))
+        hist = rows.groupBy(*keys, "__old", "__b").agg(*counted)
+        within = Window.partitionBy(*everything, "__old").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("__start", F.sum("__n").over(within) - F.col("__n"))
+        asked = targets.select(*keys, F.col("__b").alias("__old"), "n", "__name", "__off")
+        met = hist.join(asked, keys + ["__old"]).withColumn("__off", F.col("__off") - F.col("__start"))
+        targets = cut_lineage(met.where((F.col("__off") >= 0) & (F.col("__off") < F.col("__n"))).select(*keys, *bucket, "n", "__name", "__off"))
+        rows = rows.drop("__old")
 
     buckets = targets.select(*keys, "__b").distinct()
+    targets = targets.select(*keys, "__b", "n", "__name", "__off")
     hits = rows.join(buckets, keys + ["__b"], "left_semi").groupBy(*keys, "__b", "__v").agg(
         F.count(F.lit(1)).alias("__m")
     )

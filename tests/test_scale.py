@@ -106,3 +106,28 @@ def exact_quantiles_ranks(df):
 
     ranks = {"lo": lambda n: n * 0, "mid": lambda n: (n - 1) / 2, "hi": lambda n: n - 1}
     return order_stats(df, ["k"], "v", ranks).collect()
+
+
+def test_a_million_values_in_one_bucket_are_refined(spark):
+    """All values share the first bucket; no task orders more than a share of them, and a hot tie stays right."""
+    n = 1_000_000
+    close = F.lit(1.0) + F.col("id") * F.lit(2.0**-42)  # 2**-22 in all, far below a bucket's width
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), close.alias("x")).unionByName(spark.range(400_000).select(F.lit(2).cast("long").alias("g"), F.lit(5.0).alias("x")))
+    ranks = {"low": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 3), "top": lambda n: n - 1}
+    got = {r.g: r for r in order_stats(df, ["g"], "x", ranks, task_rows=1000).collect()}
+    for g in (0, 1):
+        at = [0, n // 6, n // 2 - 1]
+        assert [got[g].low, got[g].mid, got[g].top] == [1.0 + (2 * k + g) * 2.0**-42 for k in at] and got[g].n == n // 2
+    assert [got[2].low, got[2].mid, got[2].top] == [5.0] * 3
+    whole = order_stats(df, [], "x", {"mid": lambda n: F.floor(n / 2)}, task_rows=1000).first()
+    assert whole.mid == 1.0 + 700_000 * 2.0**-42
+
+
+@pytest.mark.parametrize("task_rows", [1, 50])
+def test_refined_ranks_match_sorted_values(spark, task_rows):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 4000), "x": np.concatenate([rng.normal(0, 1e-3, 1500) + 7, np.repeat([7.0, -0.0, 0.0, np.inf, -np.inf], 200), rng.normal(0, 50, 1500)])})
+    got = order_stats(spark.createDataFrame(pdf), ["g"], "x", {f"r{k}": (lambda n, k=k: F.floor(n * k / 10)) for k in range(10)}, task_rows).toPandas().set_index("g")
+    for g, own in pdf.groupby("g"):
+        values = np.sort(own["x"].to_numpy())
+        assert [got.loc[g, f"r{k}"] for k in range(10)] == [values[len(values) * k // 10] for k in range(10)]
