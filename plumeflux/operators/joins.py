@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumeflux.functions.geo import planar_dist2, wrap_lon
 from plumeflux.functions.timeconv import HOUR_US, day_index, hour_index, hours_between, micros
 from plumeflux.operators.filters import all_of, around
-from plumeflux.operators.scale import SALTS, broadcast_checked
+from plumeflux.operators.scale import broadcast_checked, dealt
 from plumeflux.operators.series import with_series
 
 
@@ -29,7 +29,7 @@ def box_join(pixels: DataFrame, facilities: DataFrame, buffer_deg: float, cell_d
     """Pixels strictly inside the box around each facility, found through shared cells.
 
     Each facility lists the cells its box touches. A facility table under the checked size is
-    broadcast, so pixels do not move; a larger one is shuffled with salted cells.
+    broadcast, so pixels do not move; with a larger one, cells of many pixels are spread over tasks.
     """
     lat_cells = F.explode(F.sequence(cell(F.col("f_lat") - buffer_deg, cell_deg), cell(F.col("f_lat") + buffer_deg, cell_deg)))
     lon_cells = F.explode(F.sequence(cell(F.col("f_lon") - buffer_deg, cell_deg), cell(F.col("f_lon") + buffer_deg, cell_deg)))
@@ -46,9 +46,7 @@ def box_join(pixels: DataFrame, facilities: DataFrame, buffer_deg: float, cell_d
     cells = pixels.withColumns({"__cy": cell("lat", cell_deg), "__cx": cell(wrap_lon("lon"), cell_deg)})
     on = ["__cy", "__cx"]
     if not small:
-        spread = [c for c in pixels.columns if c not in ("lat", "lon")]
-        cells = cells.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-        boxes = boxes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        cells, boxes = dealt(cells, boxes, on, [c for c in pixels.columns if c not in ("lat", "lon")])
         on.append("__salt")
     inside = around("lat", "lon", F.col("f_lat"), F.col("f_lon"), buffer_deg)
     return cells.join(boxes, on).where(inside).drop("__cy", "__cx", "__salt", "f_lat", "f_lon")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,8 @@ from plumeflux.session import cut_lineage
 
 # A dimension table is broadcast only when it has at most this many rows.
 BROADCAST_MAX_ROWS = 200_000
-SALTS = 8
+# A key is salted when it holds more than this many even shares of the rows.
+HEAVY = 2
 # A value bucket with more rows is cut into SPLIT parts; after so many cuts it holds a handful of doubles.
 BUCKET_ROWS = 200_000
 SPLIT = 1024
@@ -24,24 +26,52 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tupl
     return (F.broadcast(df) if small else df), small
 
 
+def heavy_keys(rows: DataFrame, keys: Sequence[str], parts: int) -> dict[int, int]:
+    """Salts for keys (by their hash) that hold more than ``HEAVY`` even shares of ``parts`` of the rows.
+
+    Keys are counted in a sketch of frequent items of bounded size, merged map-side, so at most
+    ``parts`` / ``HEAVY`` of them come back. A count that is off changes how evenly rows are dealt, never the result.
+    """
+    tracked = max(1024, min(8 * parts, 1_000_000))
+    found = rows.select(F.xxhash64(*keys).alias("__h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(__h, {parts}, {tracked})").alias("top")).first()
+    share = found["n"] / parts
+    return {t["item"]: math.ceil(t["count"] / share) for t in found["top"] or () if t["count"] > HEAVY * share}
+
+
+def dealt(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], like: DataFrame | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``keys`` with a column ``__salt`` to join on too.
+
+    A key with many rows in ``big`` (or in ``like``, a cheaper table with the same share of rows per
+    key) is dealt out by a hash of ``spread``, and its rows of ``small`` are copied as often; others stay as they are.
+    """
+    parts = parts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(big if like is None else like, keys, parts)
+    if not heavy:
+        zero = F.lit(0)
+        return big.withColumn("__salt", zero), small.withColumn("__salt", zero)
+    table = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])
+    salts = F.coalesce(F.try_element_at(table, F.xxhash64(*keys)), F.lit(1))
+    salt = F.pmod(F.xxhash64(*spread), salts).cast("int")
+    return big.withColumn("__salt", salt), small.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+
+
 def salted_lookup(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     salt_on: Sequence[str] | None = None,
     how: str = "left",
-    salts: int = SALTS,
+    like: DataFrame | None = None,
 ) -> DataFrame:
-    """Join per-key values onto rows, spreading each key of ``big`` over ``salts`` tasks.
+    """Join per-key values onto rows; keys with many rows are spread over tasks by their share of the rows.
 
     ``small`` has one row per key. No broadcast is forced: the runtime may choose one from
-    the measured size of ``small``.
+    the measured size of ``small``. ``like`` as in ``dealt``.
     """
     keys = list(keys)
     spread = list(salt_on) if salt_on else [c for c in big.columns if c not in keys]
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("__salt", salt).join(copies, keys + ["__salt"], how).drop("__salt")
+    rows, copies = dealt(big, small, keys, spread, like)
+    return rows.join(copies, keys + ["__salt"], how).drop("__salt")
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumeflux.operators.scale import exact_quantiles, median_mad, order_stats, salted_lookup
+from plumeflux.operators.scale import dealt, exact_quantiles, heavy_keys, median_mad, order_stats, salted_lookup
 from plumeflux.operators.series import SEG, halo_segments, with_series
 
 FEATURES = dict(
@@ -131,3 +131,18 @@ def test_refined_ranks_match_sorted_values(spark, task_rows):
     for g, own in pdf.groupby("g"):
         values = np.sort(own["x"].to_numpy())
         assert [got.loc[g, f"r{k}"] for k in range(10)] == [values[len(values) * k // 10] for k in range(10)]
+
+
+@pytest.mark.parametrize("parts", [12, 200])
+def test_heavy_keys_get_salts_by_their_share(spark, parts):
+    """A key with a third of the rows, one with a tenth, null keys and 20,000 light ones: no task gets much over an even share."""
+    n = 300_000
+    key = F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 10 == 1, -2).when(F.col("id") % 10 == 2, None).otherwise(F.col("id") % 20_000)
+    big = spark.range(n).select(key.alias("k"), "id")
+    small = big.where("k IS NOT NULL").select("k").distinct().withColumn("v", F.col("k") * 2)
+    rows, copies = dealt(big, small, ["k"], ["id"], parts=parts)
+    assert rows.groupBy("k", "__salt").count().agg(F.max("count")).first()[0] < 2.5 * n / parts
+    heavy = heavy_keys(big, ["k"], parts)
+    assert len(heavy) == {12: 1, 200: 3}[parts] and copies.count() <= small.count() + sum(heavy.values())
+    got = rows.join(copies, ["k", "__salt"], "left")
+    assert got.count() == n and got.where("NOT v <=> k * 2").isEmpty()
