@@ -18,7 +18,7 @@ from plumeflux.llm.text import distinct, mix, shingle_sets
 from plumeflux.session import PLACE, cut_lineage, with_places
 
 BLOCK_TOKENS = 4 << 20  # 32 MB of hashes
-LOAD_BITS = 26  # counters of token loads: 64 MB of levels at every size of the input
+LOAD_BITS = 26  # counters of token loads: 32 MB of levels, four bits each, at every size of the input
 CHUNK_BITS = 16
 EDGE_TOKENS = 64
 
@@ -28,7 +28,17 @@ def band_width(percent: int) -> float:
     return math.log(max(100 / percent, 1.05)) * (1 + 1e-9)
 
 
-def prefix_keys(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+class PackedLevels:
+    """Levels of token counters, two in a byte."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.packed[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & 15
+
+
+def prefix_keys(tokens: np.ndarray, levels: np.ndarray | PackedLevels, percent: int) -> np.ndarray:
     """Keys of the rarest tokens of a set: two linked sets share at least one.
 
     The global order of tokens is (level, hash). The first token that two linked sets share comes before
@@ -189,12 +199,12 @@ def set_classes(docs: DataFrame, width: int, key: str = "doc_id", text: str = "t
     return docs.select(F.col(key), F.col(text), F.xxhash64(text), *keep).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, class binary, text_hash bigint{kept}")
 
 
-def token_levels(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
+def token_levels(docs: DataFrame, width: int, text: str = "text") -> PackedLevels:
     """Level of every token counter: 0 if one set at most has its tokens, then rising with the logarithm of its load.
 
     A counter (the first ``LOAD_BITS`` bits of a token) sums the sets of all its tokens over all rows; equal
     sets count once per task. Tasks send chunks of counters, a sum per chunk is streamed, and the driver
-    gets one byte per counter: 64 MB at every size of the input. With far more different tokens than counters
+    gets four bits per counter (rounds of doubling): 32 MB at every size of the input. With far more different tokens than counters
     levels tell only frequent tokens from the rest; results stay the same, clusters grow.
     """
     chunks = 1 << (LOAD_BITS - CHUNK_BITS)
@@ -219,15 +229,16 @@ def token_levels(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
                 raw, bitmap = zlib.decompress(packed.as_py()), 1 << (CHUNK_BITS - 3)
                 have = np.unpackbits(np.frombuffer(raw[:bitmap], np.uint8)).astype(bool)
                 sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.uint32))[have] += np.frombuffer(raw[bitmap:], np.uint8)
-        levels = [np.minimum(255, 12 * np.log2(np.maximum(s, 1))).astype(np.uint8).tobytes() for s in sums.values()]
+        levels = [np.minimum(15, np.ceil(np.log2(np.maximum(s, 1)))).astype(np.uint8) for s in sums.values()]
+        levels = [(s[::2] | (s[1::2] << 4)).tobytes() for s in levels]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "level"])
 
     loads = docs.select(F.col(text)).mapInArrow(count, "chunk int, load binary")
-    out = np.zeros((chunks, 1 << CHUNK_BITS), np.uint8)
+    out = np.zeros((chunks, 1 << (CHUNK_BITS - 1)), np.uint8)
     levels = cut_lineage(loads.repartition(64, "chunk").mapInArrow(total, "chunk int, level binary"))
     for row in levels.coalesce(4).toLocalIterator():  # a quarter at a time
         out[row["chunk"]] = np.frombuffer(row["level"], np.uint8)
-    return out.reshape(-1)
+    return PackedLevels(out.reshape(-1))
 
 
 def class_keys(docs: DataFrame, levels, width: int, percent: int, text: str = "text", flush: int = 1_000_000) -> DataFrame:
