@@ -13,14 +13,19 @@ BLOCK_ROWS = 128
 SHARD_ROWS = 16_384
 QUERY_ROWS = 512
 PIVOTS = 64
+PLACE = "__place"
 
 
 def integer_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
-    """``key`` and ``vec``, floor(scale * x) of each component; vectors that are null or hold null or non-finite components are left out."""
+    """``key``, ``vec``, floor(scale * x) of each component, and a number that tells rows of one key apart (once written).
+
+    Vectors that are null or hold null or non-finite components are left out.
+    """
     x = F.col(embedding)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == F.lit(float("inf"))))
     rows = vectors.where(x.isNotNull()).where(~bad)
-    return rows.select(F.col(key), F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("double")).alias("vec"))
+    vec = F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("double"))
+    return rows.select(F.col(key), vec.alias("vec"), F.monotonically_increasing_id().alias(PLACE))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -63,14 +68,14 @@ def _near(pivots: np.ndarray):
 
 
 def build_blocks(vectors: DataFrame, key: str = "vec_id", block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS, pivots: int = PIVOTS) -> DataFrame:
-    """Forward index in blocks: shard, ids, vectors (row-major doubles), largest and smallest value of each component.
+    """Forward index in blocks: shard, ids, places, vectors (row-major doubles), largest and smallest value of each component.
 
     Rows are grouped with their nearest pivot (a bounded sample of vectors, at most ``pivots``), ranges of
     equal pivots being cut into shards of about ``shard_rows`` rows and blocks of ``block_rows``. Pivots
     decide only how tight the bounds are, never the result. Every row is indexed.
     """
     sample = vectors.orderBy(F.xxhash64(F.col(key)), F.xxhash64("vec")).limit(pivots).toPandas()
-    near = vectors.mapInPandas(_near(_matrix(sample["vec"])), f"`{key}` {vectors.schema[key].dataType.simpleString()}, vec array<double>, near bigint")
+    near = vectors.mapInPandas(_near(_matrix(sample["vec"])), f"`{key}` {vectors.schema[key].dataType.simpleString()}, vec array<double>, {PLACE} bigint, near bigint")
     near = cut_lineage(near)
     shards = max(1, -(-near.count() // shard_rows))
     deal = F.pmod(F.xxhash64(F.col(key), F.col("vec")), F.lit(shards))
@@ -84,19 +89,21 @@ def build_blocks(vectors: DataFrame, key: str = "vec_id", block_rows: int = BLOC
             part = pdf.iloc[at : at + block_rows]
             m = _matrix(part["vec"])
             ids = part[key].astype("Int64")
-            rows.append((int(pdf["shard"].iloc[0]), ids.tolist(), m.tobytes(), m.max(0).tobytes(), m.min(0).tobytes()))
-        out = pd.DataFrame(rows, columns=["shard", "ids", "data", "top", "low"])
+            rows.append((int(pdf["shard"].iloc[0]), ids.tolist(), part[PLACE].tolist(), m.tobytes(), m.max(0).tobytes(), m.min(0).tobytes()))
+        out = pd.DataFrame(rows, columns=["shard", "ids", "places", "data", "top", "low"])
         out["ids"] = [[None if v is pd.NA else v for v in ids] for ids in out["ids"]]
         return out
 
-    schema = "shard bigint, ids array<bigint>, data binary, top binary, low binary"
+    schema = "shard bigint, ids array<bigint>, places array<bigint>, data binary, top binary, low binary"
     return near.withColumn("shard", shard).groupBy("shard").applyInPandas(cut, schema)
 
 
 def search(queries: DataFrame, blocks: DataFrame, k: int = 5, key: str = "vec_id", query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, ``key``, score: the ``k`` best rows of the index for every query, ties to the smaller key.
 
-    Rows with the query's own key are no candidates. Every task holds one chunk of queries and one shard
+    ``queries`` are rows of the indexed table; a query's own row is no candidate of it, other rows of its key
+    are. Every row of ``queries`` has an answer of its own, also where keys repeat; null keys come last
+    among equal scores; an empty index gives no rows. Every task holds one chunk of queries and one shard
     of blocks. A block's score is bounded by the summed maxima of its terms (for negative weights:
     minima); a query takes blocks by falling bound and stops below its k-th score so far (an equal bound
     may still hold a smaller key). A last window over k rows a shard merges.
@@ -106,14 +113,15 @@ def search(queries: DataFrame, blocks: DataFrame, k: int = 5, key: str = "vec_id
     if shards is None:
         return queries.limit(0).select(F.col(key).alias("query_id"), F.lit(0).alias("rank"), F.col(key), F.lit(0).cast("bigint").alias("score"))
     chunk = F.pmod(F.xxhash64(F.col(key), F.col("vec")), F.lit(chunks))
-    left = queries.select(F.col(key), "vec", chunk.alias("chunk")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards).cast("bigint"))))
+    left = queries.select(F.col(key), "vec", PLACE, chunk.alias("chunk")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards).cast("bigint"))))
     right = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
 
     def score(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int | None, int]] = []
+        out: list[tuple[int, int, int | None, int]] = []
         if len(q) and len(b):
             data = [np.frombuffer(d, np.float64).reshape(len(i), -1) for d, i in zip(b["data"], b["ids"])]
             ids = [np.array([np.iinfo(np.int64).max if v is None or v != v else int(v) for v in i], np.int64) for i in b["ids"]]
+            places = [np.array(x, np.int64) for x in b["places"]]
             m = _matrix(q["vec"])
             width = max([m.shape[1], *(d.shape[1] for d in data)])
             top, low = np.zeros((len(b), width)), np.zeros((len(b), width))
@@ -124,13 +132,13 @@ def search(queries: DataFrame, blocks: DataFrame, k: int = 5, key: str = "vec_id
             wide[:, : m.shape[1]] = m
             bounds = np.maximum(wide, 0) @ top.T + np.minimum(wide, 0) @ low.T
             bounds += np.abs(bounds) * 1e-9  # never below the true bound, whatever was rounded
-            for own, vec, bound in zip(q[key].tolist(), m, bounds):
+            for place, own, vec, bound in zip(q[PLACE].tolist(), q[key].astype("Int64").tolist(), m, bounds):
                 best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 for at in np.argsort(-bound, kind="stable"):
                     if len(best_s) == k and bound[at] < best_s[-1]:
                         break
                     s = _products(data[at], vec)
-                    use = ids[at] != own
+                    use = places[at] != place
                     if len(best_s) == k:
                         use &= s >= best_s[-1]
                     if not use.any():
@@ -138,19 +146,21 @@ def search(queries: DataFrame, blocks: DataFrame, k: int = 5, key: str = "vec_id
                     s, i = np.concatenate([best_s, s[use]]), np.concatenate([best_i, ids[at][use]])
                     order = np.lexsort((i, -s))[:k]
                     best_s, best_i = s[order], i[order]
-                out += [(own, i if i != np.iinfo(np.int64).max else None, s) for s, i in zip(best_s.tolist(), best_i.tolist())]
-        return pd.DataFrame({"query_id": pd.array([r[0] for r in out], "Int64"), key: pd.array([r[1] for r in out], "Int64"), "score": pd.array([r[2] for r in out], "Int64")})
+                out += [(place, None if own is pd.NA else own, i if i != np.iinfo(np.int64).max else None, s) for s, i in zip(best_s.tolist(), best_i.tolist())]
+        return pd.DataFrame({name: pd.array([r[n] for r in out], "Int64") for n, name in enumerate((PLACE, "query_id", key, "score"))})
 
-    schema = f"query_id bigint, `{key}` bigint, score bigint"
+    schema = f"{PLACE} bigint, query_id bigint, `{key}` bigint, score bigint"
     found = left.groupBy("chunk", "shard").cogroup(right.groupBy("chunk", "shard")).applyInPandas(score, schema)
-    # equal queries with one key give the same rows: one of them speaks for the key
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key).asc_nulls_last())
+    order = Window.partitionBy(PLACE).orderBy(F.col("score").desc(), F.col(key).asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", key, "score")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Index every valid row of ``vectors`` and search with the rows that ``is_query`` marks."""
+    """Index every valid row of ``vectors`` and search with the rows that ``is_query`` marks.
+
+    Rows are told apart by a number they get when the integer vectors are written. Other columns are not read.
+    """
     rows = cut_lineage(integer_vectors(vectors, key, embedding))
     blocks = cut_lineage(build_blocks(rows, key))
-    return search(rows.where(is_query).dropDuplicates([key]), blocks, k, key)
+    return search(rows.where(is_query), blocks, k, key)
