@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeflux.functions.timeconv import local_to_utc, minus_hours, overpass_time
@@ -97,6 +98,49 @@ def read_cems(spark: SparkSession, path: str, months: DataFrame | None = None) -
     return raw.join(listed, ["facility_id", "year", "month"], "left_semi")
 
 
+def _by_header(lines: DataFrame, is_header: Column) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of CSV ``lines`` (value, file and others) by the columns of their own file's header, united by name as text.
+
+    Every header version is parsed once, however many files share it; a file may have its columns in any order.
+    Also (file, header) of the files that have one; no rows (None) when no file has.
+    """
+    heads = lines.where(is_header).groupBy("file").agg(F.min("value").alias("header"))
+    parts = []
+    for version in heads.select("header").distinct().orderBy("header").collect():
+        cols = [c.strip().strip('"') for c in version["header"].split(",")]
+        mine = lines.where(~is_header).join(heads.where(F.col("header") == version["header"]), "file").where("value <> ''")
+        rows = mine.select(*[c for c in lines.columns if c != "value"], F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in cols))).alias("__r"))
+        parts.append(rows.select(*[c for c in rows.columns if c != "__r"], *[F.col(f"__r.`{c}`") for c in cols if c not in FLUX_DROPPED]))
+    return (reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else None), heads
+
+
+def read_cems_csv(spark: SparkSession, path: str, months: DataFrame | None = None) -> DataFrame:
+    """Monthly monitor files ``<facility>_<name>_<yyyy>_<mm>.csv`` below ``path`` as rows of text columns.
+
+    Adds facility_id, facility_name, year, month and file from the file's name. With ``months``
+    (facility_id, year, month) files of other calendar months are not listed for the scan, and rows of
+    other facilities' months are dropped. Files without a header of ``date``, ``hour`` and ``noxMass`` give no rows.
+    """
+    pattern = "*.csv"
+    if months is not None:
+        calendar = sorted(f"{r['year']}_{r['month']:02d}" for r in months.select("year", "month").distinct().collect())  # twelve a year
+        pattern = "*_{" + ",".join(calendar or ["none"]) + "}.csv"
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    lines = raw.select("value", F.col("_metadata.file_path").alias("file"), F.url_decode("_metadata.file_name").alias("__name"))
+    rows, _ = _by_header(lines, _monitor_header())
+    if rows is None:
+        return spark.createDataFrame([], "file string, date string, hour string, noxMass string, facility_id string, facility_name string, year int, month int")
+    parts = [F.regexp_extract("__name", r"^([^_]+)_(.*)_(\d{4})_(\d{2})\.csv$", n) for n in range(1, 5)]
+    named = rows.select(*[c for c in rows.columns if c != "__name"], parts[0].alias("facility_id"), parts[1].alias("facility_name"), *[p.try_cast("int").alias(c) for p, c in zip(parts[2:], ("year", "month"))])
+    if months is None:
+        return named
+    return named.join(months.select("facility_id", "year", "month").distinct(), ["facility_id", "year", "month"], "left_semi")
+
+
+def _monitor_header() -> Column:
+    return reduce(lambda a, b: a & b, [F.col("value").rlike(rf'(^|,)\s*"?{c}"?\s*(,|$)') for c in ("date", "hour", "noxMass")])
+
+
 def needed_months(rows: DataFrame, time: str, tol_hours: float) -> DataFrame:
     """(facility_id, year, month) of every month that matching ``time`` within the tolerance can read."""
     early, late = minus_hours(time, F.lit(tol_hours)), minus_hours(time, F.lit(-tol_hours))
@@ -116,39 +160,43 @@ def with_utc_hour(cems: DataFrame, facilities: DataFrame, date: str = "date", ho
 FLUX_TEXT = ("traj", "fit_status", "status", "option")
 
 
-def read_flux_rows(spark: SparkSession, path: str, version: str = "", age: str = "age_hours", overpass_token: int = 8, step: str = "step_id", text_columns: Sequence[str] = FLUX_TEXT) -> DataFrame:
-    """All ``csf_*.csv`` under ``<facility>_<name>/`` folders as one table, columns matched by name.
-
-    Files may have different columns: every header version is parsed with its own columns and the
-    parts are united by name. ``_cems`` files are skipped. Adds source_file, facility_id,
-    facility_name, t_overpass and t_emission. ``step`` names the step column that marks a header, read as
-    step_id; ``text_columns`` stay text, the others become numbers. A file without such a header is an error.
-    """
+def _flux_lines(spark: SparkSession, path: str, step: str) -> tuple[DataFrame, Column]:
     lines = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "csf_*.csv")
         .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_name").alias("source_file"))
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("source_file"))
         .where(~F.col("source_file").contains("_cems"))
     )
-    is_header = F.col("value").rlike(rf"(^|,){re.escape(step)}(,|$)")
-    heads = lines.where(is_header).groupBy("file").agg(F.min("value").alias("header"))
-    versions = [r["header"] for r in heads.select("header").distinct().orderBy("header").collect()]
-    if not versions:
+    return lines, F.col("value").rlike(rf"(^|,){re.escape(step)}(,|$)")
+
+
+def flux_file_report(spark: SparkSession, path: str, step: str = "step_id") -> DataFrame:
+    """Per flux file with any line: source_file, file, its number of data rows and status (``ok`` or ``no_header``)."""
+    lines, is_header = _flux_lines(spark, path, step)
+    some = F.max(F.when(is_header, 1).otherwise(0)) == 1
+    rows = F.sum(F.when(~is_header & (F.col("value") != ""), 1).otherwise(0))
+    return lines.groupBy("source_file", "file").agg(rows.alias("n_rows"), F.when(some, "ok").otherwise("no_header").alias("status"))
+
+
+def read_flux_rows(
+    spark: SparkSession, path: str, version: str = "", age: str = "age_hours", overpass_token: int = 8, step: str = "step_id", text_columns: Sequence[str] = FLUX_TEXT, on_bad: str = "fail"
+) -> DataFrame:
+    """All ``csf_*.csv`` under ``<facility>_<name>/`` folders as one table, columns matched by name.
+
+    Files may have different columns: every header version is parsed with its own columns and the
+    parts are united by name. ``_cems`` files are skipped. Adds source_file, facility_id,
+    facility_name, t_overpass and t_emission. ``step`` names the step column that marks a header, read as
+    step_id; ``text_columns`` stay text, the others become numbers. A file without such a header is an
+    error, or with ``on_bad='skip'`` left out (``flux_file_report`` names it); no readable file at all is an error.
+    """
+    lines, is_header = _flux_lines(spark, path, step)
+    out, heads = _by_header(lines, is_header)
+    if out is None:
         raise ValueError(f"no flux files with a {step} column under {path}")
-    unread = lines.select("file").distinct().join(heads, "file", "left_anti").limit(3).collect()
+    unread = lines.select("file").distinct().join(heads, "file", "left_anti").limit(3).collect() if on_bad == "fail" else []
     if unread:
         raise ValueError(f"flux files without a {step} column: {[r['file'] for r in unread]}")
-    parts = []
-    for header in versions:
-        cols = [c.strip() for c in header.split(",")]
-        schema = ", ".join(f"`{c}` string" for c in cols)
-        mine = lines.where(~is_header).join(heads.where(F.col("header") == header), "file").where("value <> ''")
-        rows = mine.select("file", "source_file", F.from_csv("value", F.lit(schema)).alias("r"))
-        parts.append(rows.select("file", "source_file", *[F.col(f"r.`{c}`") for c in cols if c not in FLUX_DROPPED]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
     numeric = [c for c in out.columns if c not in ("file", "source_file", "facility_id", "facility_name", "time_tag", *text_columns)]
     out = out.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in numeric})
     if step != "step_id":
