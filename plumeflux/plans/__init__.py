@@ -2,6 +2,7 @@
 
 from plumeflux.plans import (  # noqa: F401
     aggregate_queries,
+    file_queries,
     filter_queries,
     fit_queries,
     job_queries,
