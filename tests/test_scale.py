@@ -146,3 +146,17 @@ def test_heavy_keys_get_salts_by_their_share(spark, parts):
     assert len(heavy) == {12: 1, 200: 3}[parts] and copies.count() <= small.count() + sum(heavy.values())
     got = rows.join(copies, ["k", "__salt"], "left")
     assert got.count() == n and got.where("NOT v <=> k * 2").isEmpty()
+
+
+def test_gaps_of_a_million_positions(spark):
+    """One transect with 10**6 positions over 200 km, one with a few, one with a single position."""
+    from plumeflux.operators.fitting import profile_metrics
+
+    far = F.when(F.col("id") >= 700_000, 3.25).otherwise(0.0)
+    many = spark.range(1_000_000).select(F.lit(1).alias("k"), (-100.0 + F.col("id") * F.lit(200 / 2**20) + far).alias("dist_ortho"))
+    few = spark.createDataFrame([(2, -7.5), (2, -7.5), (2, -7.25), (2, 0.0), (2, 0.5), (3, 4.0)], "k int, dist_ortho double")
+    samples = many.unionByName(few).withColumn("no2", F.lit(1.0) + F.pmod("dist_ortho", F.lit(3)))
+    fits = spark.createDataFrame([(k, 1.0, 0.0, 5.0, 0.0, 10.0) for k in (1, 2, 3)], "k int, a0 double, a1 double, a2 double, a3 double, a4 double")
+    got = {r.k: r for r in profile_metrics(samples, fits, ["k"]).collect()}
+    pct = 100 / (4 * 10 / (2 * np.sqrt(2 * np.log(2))))
+    assert [got[k].d_gap / pct for k in (1, 2, 3)] == pytest.approx([3.25 + 200 / 2**20, 7.25, 0.0]) and got[1].nobs == 1_000_000
