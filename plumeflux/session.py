@@ -9,7 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PLACE = ("__file", "__row")
@@ -72,13 +72,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_places(docs: DataFrame) -> DataFrame:
-    """``docs`` and the place of every row (file path and row index, columns of PLACE), which tells equal rows apart.
+def with_places(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) and the place of every row (file path and row index, columns of PLACE),
+    which tells equal rows apart.
 
-    ``docs`` is a table that was read, else it is written first.
+    ``docs`` is a table that was read, else it is written first. Its own columns may have any names; those taken
+    along must differ from PLACE.
     """
-    place = (F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+    def placed(table: DataFrame) -> DataFrame:
+        at = table.metadataColumn("_metadata")
+        return table.select(*(columns or ("*",)), at["file_path"].alias(PLACE[0]), at["row_index"].alias(PLACE[1]))
+
     try:
-        return docs.select("*", *place)
+        return placed(docs)
     except AnalysisException:
-        return cut_lineage(docs).select("*", *place)
+        return placed(cut_lineage(docs))
