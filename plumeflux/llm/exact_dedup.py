@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumeflux.llm.bloom import FILTER_BYTES, likely_hit
 from plumeflux.llm.url_filter import lower_ascii
@@ -25,9 +26,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def stream_files(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
-    """The Parquet files of a folder (or one file) as a stream of bounded micro-batches."""
+def stream_files(spark: SparkSession, path: str, max_files: int = 10_000, columns: Sequence[str] | None = None) -> DataFrame:
+    """The Parquet files of a folder (or one file) as a stream of bounded micro-batches, with ``columns`` only if named."""
     schema = spark.read.parquet(path).schema
+    if columns is not None:
+        schema = StructType([schema[c] for c in columns])
     pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"  # a pattern, since a stream takes no single file by name
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
 
@@ -78,7 +81,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     docs.write.option("compression", "zstd").parquet(path)
-    return dedup_files(spark, path, key=key, text=text, keep_only=True).select(*docs.columns)
+    return dedup_files(spark, path, key=key, text=text, keep_only=True)
 
 
 def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256, key: str = "doc_id", text: str = "text", max_files: int = 10_000, keep_only: bool = False, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -93,44 +96,49 @@ def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     are grouped by their bytes. So the result is exact for any ``digest``.
 
     Rows meet the state by digest; only hits move their text. Hot digests are left to the skew splitting
-    of adaptive joins. Empty tables give no rows; clashing column names of the input are replaced.
+    of adaptive joins. Empty tables give no rows. Other columns travel as one struct, so their names clash
+    with nothing; those named like a column of the result are replaced by it.
     """
     own = state_session(spark)
-    _, state = run_state(stream_files(own, path, max_files), digest, key, text)
+    _, state = run_state(stream_files(own, path, max_files, [key, text]), digest, key, text)
     held = state.where("n > 1").select(F.col("digest").alias("__d"), F.col("at.id").alias("__kept_id"), F.col("at.file").alias("__kept_file"), F.col("at.row").alias("__kept_row"), "n")
     held = cut_lineage(held)
 
     docs = own.read.parquet(path)
-    place = (F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    at = docs.metadataColumn("_metadata")
+    place = (at["file_path"].alias("__file"), at["row_index"].alias("__row"))
     norm = normalised(F.col(text))
-    others = [c for c in docs.columns if c not in (text, "keep_id", "group_size", "kept", "text_sha256")]
-    rows = docs.select(*others, *place, norm.alias("__norm"), digest(norm).alias("__digest"))
+    added = ("keep_id", "group_size", "kept", "text_sha256")
+    others = [c for c in docs.columns if c == key or c.lower() not in (text.lower(), *added)]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]).alias("__rest")
+    rows = docs.select(F.col(key).alias("__id"), rest, *place, norm.alias("__norm"), digest(norm).alias("__digest"))
     rows = rows.withColumn("text_sha256", F.col("__digest") if digest is sha256 else sha256(F.col("__norm")))
     # texts of possible hits only leave the scan; the filter is exact enough to spare nearly all others
     likely = likely_hit(held, held.count(), F.xxhash64("__digest"), filter_bytes)
     rows = cut_lineage(rows.withColumn("__norm", F.when(likely, F.col("__norm"))))
     single = rows.drop("__norm").join(held.select("__d"), F.col("__digest") == F.col("__d"), "left_anti")
-    alone = single.select(*others, F.col(key).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    alone = single.select("__rest", F.col("__id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     hits = rows.where(F.col("__norm").isNotNull()).join(held, F.col("__digest") == F.col("__d"))
     is_kept = (F.col("__file") == F.col("__kept_file")) & (F.col("__row") == F.col("__kept_row"))
     # the located content, once for each digest with hits
     content = hits.where(is_kept).select(F.col("__d").alias("__c"), F.col("__norm").alias("__kept_text"))
     compared = hits.join(content, F.col("__d") == F.col("__c"))
     same = F.col("__norm") == F.col("__kept_text")
-    checked = cut_lineage(compared.select(*others, "__file", "__row", "__digest", "__kept_id", "__kept_file", "__kept_row", "n", "text_sha256", same.alias("__same"), F.when(~same, F.col("__norm")).alias("__other")))
+    checked = cut_lineage(compared.select("__id", "__rest", "__file", "__row", "__digest", "__kept_id", "__kept_file", "__kept_row", "n", "text_sha256", same.alias("__same"), F.when(~same, F.col("__norm")).alias("__other")))
     # all rows of most digests agree with the located content; else groups are counted by their bytes
     clash = checked.where(~F.col("__same")).select("__digest").distinct()
     agree = checked.join(clash, "__digest", "left_anti")
-    agreed = agree.select(*others, F.col("__kept_id").alias("keep_id"), F.col("n").alias("group_size"), is_kept.alias("kept"), "text_sha256")
+    agreed = agree.select("__rest", F.col("__kept_id").alias("keep_id"), F.col("n").alias("group_size"), is_kept.alias("kept"), "text_sha256")
     mixed = checked.join(clash, "__digest", "left_semi")
-    best = mixed.groupBy("__digest", "__other").agg(F.max(F.struct(F.col(key).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"))).alias("__best"), F.count(F.lit(1)).alias("__n"))
+    best = mixed.groupBy("__digest", "__other").agg(F.max(F.struct(F.col("__id").alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"))).alias("__best"), F.count(F.lit(1)).alias("__n"))
     best = best.select(F.col("__digest").alias("__d2"), F.col("__other").alias("__o2"), "__best", "__n")
     resolved_rows = mixed.join(best, (F.col("__digest") == F.col("__d2")) & F.col("__other").eqNullSafe(F.col("__o2")))
     kept = (F.col("__file") == F.col("__best.file")) & (F.col("__row") == F.col("__best.row"))
-    resolved = resolved_rows.select(*others, F.col("__best.id").alias("keep_id"), F.col("__n").alias("group_size"), kept.alias("kept"), "text_sha256")
+    resolved = resolved_rows.select("__rest", F.col("__best.id").alias("keep_id"), F.col("__n").alias("group_size"), kept.alias("kept"), "text_sha256")
     decided = alone.unionByName(agreed).unionByName(resolved)
     if not keep_only:
-        return decided
+        return decided.select("__rest.*", *added)
     # one more scan, without the places of rows that go
     gone = agree.where(~is_kept).select("__file", "__row").unionByName(resolved_rows.where(~kept).select("__file", "__row"))
-    return docs.select("*", *place).join(gone, ["__file", "__row"], "left_anti").drop("__file", "__row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    return docs.select(whole, *place).join(gone, ["__file", "__row"], "left_anti").select("__doc.*")

@@ -372,9 +372,11 @@ def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80, key
     """``docs`` with one row of every group of near duplicates: the first by key (null last), hash of the text and place.
 
     What goes is told by its place, so rows with null or repeated keys go or stay by their own text. Rows
-    without words stay.
+    without words stay. Columns travel as one struct, so their names clash with nothing; an empty table
+    gives no rows.
     """
-    placed = with_places(docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    placed = with_places(docs, key, text, whole)
     classes = cut_lineage(set_classes(placed, width, key, text, PLACE))
     links = connected_components(jaccard_links(docs, classes, width, percent, key, text, block_tokens))
     sets = classes.where(F.col("class").isNotNull())
@@ -382,4 +384,4 @@ def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80, key
     order = F.struct(F.col(key).isNull(), key, "text_hash", *PLACE)
     groups = named.groupBy("__root").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     others = named.join(groups, "__root").where(~order.eqNullSafe(F.col("__first")))
-    return placed.join(others.select(*PLACE), list(PLACE), "left_anti").select(*docs.columns)
+    return placed.join(others.select(*PLACE), list(PLACE), "left_anti").select("__doc.*")
