@@ -25,11 +25,11 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _PATH, 1)
 
 
-def _candidates(lengths: list[int]) -> Column:
-    """Canonical URLs that a rule for this url would have: each parent host with each listed path length."""
-    parts = F.split("host", r"\.", -1)
-    depth = F.size(parts)
-    hosts = F.transform(F.sequence(F.lit(1), depth), lambda k: F.array_join(F.slice(parts, k, depth), "."))
+def _candidates(lengths: list[int], labels: int) -> Column:
+    """Canonical URLs that a rule for this url would have: each parent host of at most ``labels`` labels with each listed path length."""
+    last = lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k)
+    dots = F.char_length("host") - F.char_length(F.replace("host", F.lit("."), F.lit("")))
+    hosts = F.transform(F.sequence(F.lit(1), F.least(dots + 1, F.lit(labels))), last)
     paths = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("path", 1, n).alias("p")) for n in lengths]), lambda s: F.char_length(s["p"]) == s["n"])
     return F.flatten(F.transform(hosts, lambda a: F.transform(paths, lambda s: F.struct(a.alias("host"), s["p"].alias("path")))))
 
@@ -45,17 +45,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     Candidates of a url (parent hosts x listed path lengths) pass a blocked Bloom filter; the few that
     pass meet the list in an exact hash join, which removes false positives, once for each distinct
     url. A filter of at most ``filter_bytes`` is a scalar in the scan; a larger one is joined by
-    block. Only key and url are read. Null urls and urls without ``://`` have empty host and path and
+    block. Only key and url are read. Hosts are taken from their end, up to as many labels as the longest
+    listed host has, so a very long host makes few candidates. Null urls and urls without ``://`` have empty host and path and
     meet only rules of an empty host; null keys and repeated rows keep their rows; no rules or no pages
     are fine.
     """
-    facts = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.char_length("path"))).alias("lengths")).first()
+    facts = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.char_length("path"))).alias("lengths"), F.max(F.size(F.split("host", r"\.", -1))).alias("labels")).first()
     rows = pages.select(F.col(key), F.col(url).alias("__url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     if not facts["n"]:
         return rows.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     blocks = n_blocks(facts["n"])
     filters = bloom_blocks(rules, F.xxhash64("host", "path"), blocks)
-    urls = rows.select("host", "path").distinct().withColumn("__c", _candidates(facts["lengths"]))
+    urls = rows.select("host", "path").distinct().withColumn("__c", _candidates(facts["lengths"], facts["labels"]))
     hashed = lambda c: F.xxhash64(c["host"], c["path"])
     if blocks * WORDS * 8 <= filter_bytes:
         held = filters.agg(F.array_sort(F.collect_list(F.struct("block", "words")))["words"].alias("m")).scalar()
