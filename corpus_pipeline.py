@@ -32,10 +32,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it. Each row has copies of its own, also where ids are null or repeated."""
-    placed = with_places(docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    placed = with_places(docs, "doc_id", "source", "text", whole)
     taken = mixing.mix_sources(placed, keep=PLACE).where("copies > 0").select(*PLACE, "copies")
     joined = placed.join(taken, list(PLACE))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return joined.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
