@@ -114,8 +114,47 @@ def letter_counts(line: Column) -> Column:
     return F.array(*[F.char_length(line) - F.char_length(F.translate(line, c, "")) for c in BAG])
 
 
+def character_marks(line: Column, edits: int) -> Column:
+    """Hashes of which two lines within ``edits`` share at least one: array of 2 * edits + 1 marks.
+
+    Characters fall into that many classes by code point, so that letters of any script spread evenly,
+    and a mark tells how often each character of one class occurs (the sum of their hashes). An edit touches two classes at most, a replacement's old and
+    new character, so ``edits`` of them leave one class as it was.
+    """
+    classes = 2 * edits + 1
+    none = F.lit(0).cast("bigint")
+    codes = F.transform(F.split(line, ""), lambda c: F.struct(F.pmod(F.ascii(c), F.lit(classes)).alias("g"), F.shiftrightunsigned(F.xxhash64(c), 33).alias("h")))
+
+    def mark(codes: Column, g: int) -> Column:
+        total = F.aggregate(codes, none, lambda s, c: s + F.when(c["g"] == g, c["h"]).otherwise(none))
+        return F.xxhash64(F.lit(g), total)
+
+    return let(codes, lambda h: F.array(*[mark(h, g) for g in range(classes)]))
+
+
+def sharing(entries: DataFrame, key: str) -> DataFrame:
+    """Rows (h1, key, indexed) whose key at least two lines have, one of them as its own segment.
+
+    Keys are counted map-side and joined back, so a key of very many lines is split like any skewed join.
+    """
+    met = entries.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("indexed").alias("any"))
+    return entries.join(met.where("lo <> hi AND any").select(key), key, "left_semi").select("h1", key, "indexed")
+
+
+def narrowed_pairs(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates (a < b) among lines that share a segment (h1, key, indexed): some mark of theirs agrees too."""
+    finer = shared.join(texts.select("h1", "marks"), "h1").withColumn("mark", F.explode("marks"))
+    finer = cut_lineage(sharing(finer.select("h1", F.xxhash64("key", "mark").alias("key"), "indexed"), "key"))
+    x, y = finer.where("indexed").select(F.col("h1").alias("a"), "key"), finer.select(F.col("h1").alias("b"), "key")
+    return x.join(y, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def line_links(docs: DataFrame, lines: DataFrame, edits: int, min_chars: int, key: str, text: str) -> DataFrame:
-    """Linked pairs (a, b) of different lines, a and b structs of the lines' two hashes, each pair once."""
+    """Linked pairs (a, b) of different lines, a and b structs of the lines' two hashes, each pair once.
+
+    Lines that share a segment are narrowed by ``character_marks`` before they are paired, so that many
+    lines with one segment in common but other differences do not all meet each other.
+    """
     long_lines = lines.where(F.col("n") >= min_chars)
     # equal lines are one line from here on
     one = long_lines.groupBy("h1", "h2").agg(F.first("keys").alias("keys"))
@@ -123,8 +162,6 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int, min_chars: int, ke
     group = Window.partitionBy("key")
     shared = entries.withColumn("lo", F.min("h1").over(group)).withColumn("hi", F.max("h1").over(group)).withColumn("any", F.max("indexed").over(group))
     shared = cut_lineage(shared.where((F.col("lo") != F.col("hi")) & F.col("any")).select("h1", "key", "indexed"))
-    x, y = shared.where("indexed").select(F.col("h1").alias("a"), "key"), shared.select(F.col("h1").alias("b"), "key")
-    pairs = x.join(y, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # texts of candidate lines only: a Bloom filter spares the others the shuffle, the join is exact
     wanted = cut_lineage(shared.select("h1").distinct())
@@ -132,7 +169,9 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int, min_chars: int, ke
     again = split_lines(docs, key, text).select("line", h1.alias("h1"), h2.alias("h2"))
     again = again.where(likely_hit(wanted, wanted.count(), F.xxhash64("h1")))
     texts = again.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(wanted, "h1")
-    texts = cut_lineage(texts.withColumn("bag", letter_counts(F.col("line"))))
+    texts = cut_lineage(texts.withColumn("bag", letter_counts(F.col("line"))).withColumn("marks", character_marks(F.col("line"), edits)))
+
+    pairs = narrowed_pairs(shared, texts)
     left = texts.select(F.col("h1").alias("a"), F.struct("h1", "h2").alias("na"), F.col("line").alias("la"), F.col("bag").alias("sa"))
     right = texts.select(F.col("h1").alias("b"), F.struct("h1", "h2").alias("nb"), F.col("line").alias("lb"), F.col("bag").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
