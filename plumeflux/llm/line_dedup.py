@@ -118,8 +118,8 @@ def character_marks(line: Column, edits: int) -> Column:
     """Hashes of which two lines within ``edits`` share at least one: array of 2 * edits + 1 marks.
 
     Characters fall into that many classes by code point, so that letters of any script spread evenly,
-    and a mark tells how often each character of one class occurs (the sum of their hashes). An edit touches two classes at most, a replacement's old and
-    new character, so ``edits`` of them leave one class as it was.
+    and a mark tells how often each character of one class occurs (the sum of their hashes). An
+    edit touches two classes at most, a replacement's old and new character, so ``edits`` of them leave one class as it was.
     """
     classes = 2 * edits + 1
     none = F.lit(0).cast("bigint")
@@ -192,7 +192,9 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CH
     and ``class_line`` name the first line of the class (smallest key, then line_no; null keys come
     first), the one that is ``kept``; ``links`` counts the different lines linked directly. Repeated
     rows have equal keys and line numbers, so all of them are kept or none. Lines are identified by 128
-    bits of hash.
+    bits of hash. Null and empty texts are one empty line; an empty table gives no rows; a
+    very long line is compared whole, after the beginning and end it shares with its candidate are cut;
+    other columns are not read.
     """
     rows = split_lines(docs, key, text)
     n = F.char_length("line")
