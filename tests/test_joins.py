@@ -138,3 +138,30 @@ def test_far_points_meet_few_cells_at_every_level(spark):
     most = [s.groupBy("id").count().agg({"count": "max"}).first()[0] for s in steps]
     mean = [s.count() / 300 for s in steps]
     assert len(steps) == len(levels) and max(most) <= 120 and max(mean) <= 40
+
+
+def test_clip_moves_no_pixels_while_rectangles_are_small(spark, monkeypatch, capsys):
+    from plumeflux.plans import jobs
+
+    rng = np.random.default_rng(9)
+    px = pd.DataFrame([(f"g{g}", i, j) for g in range(4) for i in range(20) for j in range(20)], columns=["granule_id", "i", "j"])
+    px = px.assign(lat=30 + 0.3 * px["i"] + rng.uniform(0, 0.1, len(px)), lon=-90 + 0.3 * px["j"], no2=1.0, t_utc=dt.datetime(2024, 1, 1))
+    pixels = spark.createDataFrame(px)
+    fac = spark.createDataFrame([("a", 32.0, -88.0), ("b", 34.0, -86.5), ("far", -60.0, 10.0)], "facility_id string, lat double, lon double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+
+        def clip():
+            clipped = jobs.clip_granules(pixels, jobs.granule_extents(pixels), fac)[1]
+            clipped.explain("simple")
+            return capsys.readouterr().out, sorted(map(tuple, clipped.select("facility_id", "granule_id", "i", "j").collect()))
+
+        plan, small = clip()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        monkeypatch.setattr(jobs, "broadcast_checked", lambda df: (df, False))
+        plan, large = clip()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert small == large and {r[0] for r in small} == {"a", "b"}
