@@ -45,13 +45,15 @@ def with_kinematics(
     order: str = "step_id",
     last_row: str = "null",
     dt_steps: tuple[int, int] = (1, 2),
+    zero_dt: str = "null",
 ) -> DataFrame:
     """All derived columns of a path with steps 0, 1, 2, ...
 
     ``age_km`` distance travelled; ``wd`` bearing from the first point (the first row repeats
     the second); ``wso``, ``u``, ``v`` speed to the next point over one path-wide time step
     taken between rows ``dt_steps`` (last row null, or ``last_row='repeat'``); ``time_tag`` the
-    overpass time moved back by the time since the first point.
+    overpass time moved back by the time since the first point. Without time between those rows
+    speeds are null, or with ``zero_dt='ieee'`` infinite (NaN where nothing moved).
     """
     near, w = _neighbours(traj, keys, order, halo=2)
     nlat, nlon = F.lead("lat").over(w), F.lead("lon").over(w)
@@ -78,8 +80,16 @@ def with_kinematics(
         overall={"__ta": "__t0", "__tb": "__t1"},
     )
     dt = F.floor((F.col("__tb") - F.col("__ta")) / F.lit(1_000_000))
+
+    def speed(leg: str) -> Column:
+        moving = F.when(dt > 0, F.col(leg) / dt)
+        if zero_dt == "null":
+            return moving
+        at_once = F.when(F.col(leg) > 0, F.lit(float("inf"))).when(F.col(leg) == 0, F.lit(float("nan")))
+        return F.when(dt == 0, at_once).otherwise(moving)
+
     wd = F.when(F.col(order) == 0, F.col("__wd0")).otherwise(bearing_deg("__lat0", "__lon0", "lat", "lon"))
-    out = {"age_km": F.col("__m") / 1000.0, "wd": wd, **{k: F.when(dt > 0, F.col(k) / dt) for k in legs}}
+    out = {"age_km": F.col("__m") / 1000.0, "wd": wd, **{k: speed(k) for k in legs}}
     if t_overpass:
         out["time_tag"] = from_micros(micros(t_overpass) - (micros("tstmp") - micros("__tf")))
     kept = [c for c in traj.columns if c not in out]

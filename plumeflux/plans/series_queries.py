@@ -79,7 +79,7 @@ DT = """dt AS (SELECT facility_id, CAST(floor((max(CASE WHEN step_id=2 THEN epoc
     "fx_trajectory",
 )
 def e04(t: Inputs) -> DataFrame:
-    wind = tr.with_kinematics(t.trajectory, KEY, None)
+    wind = tr.with_kinematics(t.trajectory, KEY, None, zero_dt="ieee")
     return wind.select("facility_id", "step_id", *[F.round(c, 8).alias(c) for c in ("wso", "u", "v")])
 
 
@@ -91,7 +91,7 @@ def e04(t: Inputs) -> DataFrame:
     "fx_trajectory",
 )
 def e04b(t: Inputs) -> DataFrame:
-    wind = tr.with_kinematics(t.trajectory, KEY, None, last_row="repeat")
+    wind = tr.with_kinematics(t.trajectory, KEY, None, last_row="repeat", zero_dt="ieee")
     return wind.select("facility_id", "step_id", F.round("wso", 8).alias("wso"))
 
 
