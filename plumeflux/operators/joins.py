@@ -151,6 +151,15 @@ def coarse_to_fine(points: DataFrame, levels: Sequence[DataFrame], keys: Sequenc
     return steps
 
 
+def in_reach(points: DataFrame, cells: Sequence[str], size: float) -> DataFrame:
+    """Points (``__l0``, ``__l1``, ...) copied to the cells of twice the ``size`` that lie within ``size``: two per coordinate."""
+    reach = size * (1.0 + 1e-6)  # rounding of a distance at the limit
+    for n, c in enumerate(cells):
+        at = F.col(f"__l{n}")
+        points = points.withColumn(c, F.explode(F.sequence(cell(at - reach, 2.0 * size), cell(at + reach, 2.0 * size))))
+    return points
+
+
 def nearest_neighbour(
     left: DataFrame,
     right: DataFrame,
@@ -165,7 +174,7 @@ def nearest_neighbour(
     """For each left row the closest right row of the same key; ties go to the lowest ``tie``.
 
     ``coords`` pairs left and right coordinate columns of a Euclidean space. Left rows with a
-    right row within ``size`` are settled in their own neighbourhood of cells. The others go down a
+    right row within ``size`` are settled in the cells of twice that size around them. The others go down a
     hierarchy of occupied cells by tight bounds, from cells of about ``extent`` (the usual range of a
     coordinate; more is right but slower) to cells of ``size``, and look only into those that may hold the
     closest row. ``d2`` is null when the key has no right row.
@@ -175,8 +184,9 @@ def nearest_neighbour(
     ids = keys + [c for c in left_id if c not in keys]
     need = list(dict.fromkeys([*keys, *rcols, *tie, *carry]))
     cells = [f"__c{n}" for n in range(len(coords))]
-    r = right.select(*need).withColumns({c: cell(x, size) for c, x in zip(cells, rcols)})
-    r = r.withColumnsRenamed({x: f"__r_{x}" for x in need if x not in keys})
+    r = right.select(*need).withColumnsRenamed({x: f"__r_{x}" for x in need if x not in keys})
+    placed = r.withColumns({b: cell(f"__r_{x}", 2.0 * size) for b, x in zip(cells, rcols)})
+    r = r.withColumns({c: cell(f"__r_{x}", size) for c, x in zip(cells, rcols)})
     me = left.select(*ids, *[F.col(a).alias(f"__l{n}") for n, a in enumerate(lcols)])
 
     def square(x: Column) -> Column:
@@ -188,10 +198,7 @@ def nearest_neighbour(
         F.struct("d2", *[F.col(f"__r_{t}") for t in tie]),
     ).alias("__best")
 
-    home = me.withColumns({c: cell(f"__l{n}", size) for n, c in enumerate(cells)})
-    for c in cells:
-        home = home.withColumn("__o", _offsets()).withColumn(c, F.col(c) + F.col("__o")).drop("__o")
-    close = home.join(r, keys + cells).withColumn("d2", d2).where(F.col("d2") <= size * size).groupBy(*ids).agg(best)
+    close = in_reach(me, cells, size).join(placed, keys + cells).withColumn("d2", d2).where(F.col("d2") <= size * size).groupBy(*ids).agg(best)
 
     far = me.join(close.select(*ids), ids, "left_anti")
     steps = coarse_to_fine(far, occupied_levels(r, keys, cells, [f"__r_{x}" for x in rcols], size, extent), keys, ids, cells)
