@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from plumeflux.session import cut_lineage
 MAX_EDITS = 2
 MIN_CHARS = 16
 BAG = "abcdefghijklmnopqrstuvwxyz ,."
+PAIRED = 32  # lines of a group that are paired at once; larger groups are split
+MAX_SPLIT_EDITS = 2  # with more edits the ways to halve windows make the expression too large to compile
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,11 +153,101 @@ def narrowed_pairs(shared: DataFrame, texts: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def split_window(line: Column, edits: int, start: Column, n: Column, moved: Column) -> list[tuple]:
+    """Ways in which two lines differ by exactly ``edits`` in a window, by the halves that hold the edits.
+
+    The window has ``n`` characters in the indexed line; in this line it begins at ``start`` and has
+    ``moved`` more. Each way: edits in the first half, characters that stand unchanged, windows left
+    (edits, start, n, moved), whether the halves keep their sizes, whether this line allows it. A window
+    of one character stays as it is.
+    """
+    half = F.shiftright(n, 1)
+    out = [
+        (0, F.substring(line, start + 1, half), [(edits, start + half, n - half, moved)], True, n - half + moved >= 0),
+        (edits, F.substring(line, start + half + moved + 1, n - half), [(edits, start, half, moved)], True, (n > 1) & (half + moved >= 0)),
+    ]
+    for left in range(1, edits):
+        for d in range(-left, left + 1):
+            rest = moved - d
+            fits = (n > 1) & (F.abs(rest) <= edits - left) & (half + d >= 0) & (n - half + rest >= 0)
+            out.append((left, F.lit(""), [(left, start, half, F.lit(d)), (edits - left, start + half + d, n - half, rest)], d == 0, fits))
+    return out
+
+
+def edit_forms(edits: int) -> list[tuple[int, ...]]:
+    """Every way to deal 1 to ``edits`` edits to windows in a row, one at least to each."""
+    return [(total,) for total in range(1, edits + 1)] + [(k, *rest) for k in range(1, edits) for rest in edit_forms(edits - k)]
+
+
+def split_groups(lines: DataFrame, edits: int) -> DataFrame:
+    """Candidates (a < b) among lines (h1, line) of large groups, without pairing whole groups.
+
+    Lines whose lengths allow a match start as one group, with the whole line as window and an exact
+    number of edits in it. Round by round every window is halved and lines stay together that agree in the halves
+    without edits, so a pair within ``edits`` goes one way through the rounds. A group of at most PAIRED rows
+    is paired, a larger one is halved on; windows of one character end it, when nearly all pairs are links.
+    A group is dropped when all its lines agree in some window: its pairs have fewer edits and are met there.
+    """
+    forms = edit_forms(edits)
+
+    def state(gid: Column, indexed: Column, line: Column, windows: list[tuple]) -> Column:
+        w = F.array(*[F.struct(s.alias("s"), n.alias("n"), d.alias("d")) for _, s, n, d in windows])
+        own = [F.xxhash64(F.substring(line, s + 1, n + d)) for _, s, n, d in windows]
+        # lines differ in every window; those that a form lacks are filled up by the line itself
+        own += [F.col("h1")] * (edits - len(own))
+        form = F.lit(forms.index(tuple(e for e, *_ in windows)))
+        more = F.greatest(F.lit(1), *[n for _, _, n, _ in windows]) > 1
+        return F.struct(gid.alias("gid"), indexed.alias("indexed"), form.alias("form"), w.alias("w"), more.alias("more"), *[c.alias(f"own{i}") for i, c in enumerate(own)])
+
+    def halved(form: tuple[int, ...]) -> Column:
+        """States after a round of a state of one form."""
+        line, out = F.col("line"), []
+        ways = [split_window(line, e, *[F.col("w")[i][c] for c in "snd"]) for i, e in enumerate(form)]
+        for way in product(*ways):
+            name = F.lit(",".join(str(x[0]) for x in way))
+            gid = F.xxhash64("gid", F.lit(str(form)), name, *[x[1] for x in way])
+            fits, still = F.lit(True), F.lit(all(x[3] for x in way))
+            for x in way:
+                fits = fits & x[4]
+            out.append(F.when(fits, state(gid, F.col("indexed") & still, line, [w for x in way for w in x[2]])))
+        return F.array(*out)
+
+    size, zero = F.char_length("line"), F.lit(0)
+    first = [state(F.xxhash64(F.lit(e), size - d), F.lit(d == 0), F.col("line"), [(e, zero, size - d, F.lit(d))]) for e in range(1, edits + 1) for d in range(e + 1)]
+    states = lines.select("h1", F.explode(F.array(*first)).alias("k")).select("h1", "k.*")
+    owns = [f"own{i}" for i in range(edits)]
+    found = []
+    while True:
+        after = F
+        for k, form in enumerate(forms):
+            after = after.when(F.col("form") == k, halved(form))
+        split = states.select("h1", "gid", "indexed", "form", "w").join(lines, "h1").select("h1", F.explode(after).alias("k"))
+        split = cut_lineage(split.where("k IS NOT NULL").select("h1", "k.*"))
+        sizes = split.groupBy("gid").agg(F.count(F.lit(1)).alias("rows"), F.max("indexed").alias("any"), *[f(c).alias(f"{f.__name__}_{c}") for c in owns for f in (F.min, F.max)])
+        met = sizes.where("any").where(" AND ".join(f"min_{c} <> max_{c}" for c in owns))
+        now = cut_lineage(split.join(met.select("gid", "rows"), "gid").withColumn("again", F.col("more") & (F.col("rows") > PAIRED)))
+        found.append(now.where(~F.col("again")).select("gid", "h1", "indexed", *owns))
+        states = now.where("again")
+        if states.isEmpty():
+            break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    x = every.where("indexed").select("gid", F.col("h1").alias("a"), *[F.col(c).alias(f"x_{c}") for c in owns])
+    y = every.select("gid", F.col("h1").alias("b"), F.col("indexed").alias("both"), *owns)
+    # of two indexed lines the smaller one meets the other
+    once = (F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~F.col("both"))
+    for c in owns:
+        once = once & (F.col(f"x_{c}") != F.col(c))
+    return x.join(y, "gid").where(once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def line_links(docs: DataFrame, lines: DataFrame, edits: int, min_chars: int, key: str, text: str) -> DataFrame:
     """Linked pairs (a, b) of different lines, a and b structs of the lines' two hashes, each pair once.
 
-    Lines that share a segment are narrowed by ``character_marks`` before they are paired, so that many
-    lines with one segment in common but other differences do not all meet each other.
+    Lines that share a segment are narrowed by ``character_marks`` before they are paired. Where more
+    than PAIRED lines share one they are paired by ``split_groups`` instead (up to MAX_SPLIT_EDITS edits),
+    so that many lines with one segment in common but other differences do not all meet each other.
     """
     long_lines = lines.where(F.col("n") >= min_chars)
     # equal lines are one line from here on
@@ -161,7 +255,8 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int, min_chars: int, ke
     entries = one.select("h1", F.explode("keys").alias("k")).select("h1", "k.key", "k.indexed")
     group = Window.partitionBy("key")
     shared = entries.withColumn("lo", F.min("h1").over(group)).withColumn("hi", F.max("h1").over(group)).withColumn("any", F.max("indexed").over(group))
-    shared = cut_lineage(shared.where((F.col("lo") != F.col("hi")) & F.col("any")).select("h1", "key", "indexed"))
+    shared = shared.withColumn("many", (F.count(F.lit(1)).over(group) > PAIRED) & F.lit(0 < edits <= MAX_SPLIT_EDITS))
+    shared = cut_lineage(shared.where((F.col("lo") != F.col("hi")) & F.col("any")).select("h1", "key", "indexed", "many"))
 
     # texts of candidate lines only: a Bloom filter spares the others the shuffle, the join is exact
     wanted = cut_lineage(shared.select("h1").distinct())
@@ -171,7 +266,10 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int, min_chars: int, ke
     texts = again.groupBy("h1", "h2").agg(F.first("line").alias("line")).join(wanted, "h1")
     texts = cut_lineage(texts.withColumn("bag", letter_counts(F.col("line"))).withColumn("marks", character_marks(F.col("line"), edits)))
 
-    pairs = narrowed_pairs(shared, texts)
+    pairs = narrowed_pairs(shared.where("NOT many").drop("many"), texts)
+    crowd = shared.where("many").select("h1").distinct()
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(split_groups(cut_lineage(texts.join(crowd, "h1", "left_semi").select("h1", "line")), edits)).distinct()
     left = texts.select(F.col("h1").alias("a"), F.struct("h1", "h2").alias("na"), F.col("line").alias("la"), F.col("bag").alias("sa"))
     right = texts.select(F.col("h1").alias("b"), F.struct("h1", "h2").alias("nb"), F.col("line").alias("lb"), F.col("bag").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")

@@ -62,3 +62,52 @@ def test_odd_lines(spark):
     rows = [(1, long_line, "a", "b", "c", "d"), (2, long_line[:50_000] + "#" + long_line[50_001:], None, "b", "c", "d"), (None, None, "a", "b", "c", "d"), (3, "", "a", "b", "c", "d"), (3, "", "a", "b", "c", "d")]
     got = sorted(line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect(), key=lambda r: (r.doc_id or 0, r.line_no))
     assert [(r.doc_id, r.class_id, r.links, r.kept) for r in got] == [(None, None, 0, True), (1, 1, 1, True), (2, 1, 1, False), (3, None, 0, False), (3, None, 0, False)]
+
+
+def test_many_near_lines_make_few_pairs(spark, monkeypatch):
+    """Variants of one line with few words apart agree in segments and marks: whole links, candidates far below all pairs."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgж", k=6))
+    base = [word() for _ in range(24)]
+
+    def variant():
+        out = list(base)
+        for at in rng.sample(range(24), 2):
+            out[at] = word()
+        return " ".join(out)
+
+    lines = [variant() for _ in range(600)]
+    for k in range(60):  # a replaced, a missing or a doubled character, or both of two
+        x, at = lines[10 * k], rng.randrange(1, 80)
+        x = x[:at] + ["Q", "", x[at] * 2][k % 3] + x[at + 1 :]
+        lines.append(x if k % 2 else x[:100] + "#" + x[101:])
+    monkeypatch.setattr(line_dedup, "PAIRED", 8)
+    table = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h1"), "line").cache()
+    name = {r.h1: r.line for r in table.collect()}
+    pairs = {tuple(sorted((name[r.a], name[r.b]))) for r in line_dedup.split_groups(table, 2).collect()}
+    want = {tuple(sorted((lines[10 * k], lines[600 + k]))) for k in range(60)}
+    assert want <= pairs and len(pairs) < 5 * len(lines)  # 217,470 pairs in all
+    # the former way, by marks: tens of thousands
+    texts = table.select("h1", line_dedup.character_marks(F.col("line"), 2).alias("marks"))
+    shared = table.select("h1", F.lit(1).cast("bigint").alias("key"), F.lit(True).alias("indexed"))
+    assert line_dedup.narrowed_pairs(shared, texts).count() > 10 * len(pairs)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_split_groups_lose_no_link(spark, monkeypatch, edits):
+    rng = random.Random(edits)
+    base = "".join(rng.choices("ab é𝄞ж.", k=23))
+    lines = {base}
+    for _ in range(120):
+        b = list(base)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "𝄞"])
+        lines.add("".join(b))
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    table = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h1"), "line").cache()
+    name = {r.h1: r.line for r in table.collect()}
+    pairs = {tuple(sorted((name[r.a], name[r.b]))) for r in line_dedup.split_groups(table, edits).collect()}
+    every = spark.createDataFrame([(a, b) for a in lines for b in lines if a < b], "a string, b string")
+    want = {(r.a, r.b) for r in every.where(line_dedup.within(F.col("a"), F.col("b"), edits)).collect()}
+    assert want and want <= pairs
