@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeflux.llm.text import word_counts
-from plumeflux.session import cut_lineage
+from plumeflux.session import cut_lineage, released, released_group
 
 ROWS_PER_TASK = 50_000
 FAN_IN = 64
@@ -27,7 +27,7 @@ def with_sizes(docs: DataFrame, columns: Sequence[str], text: str = "text", size
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes], names=[*columns, size])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(count, fields + f"`{size}` bigint")
+    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(released(count), fields + f"`{size}` bigint")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, source: str = "source") -> DataFrame:
@@ -157,7 +157,7 @@ def mix_sources(
         levels, width = levels + 1, -(-width // FAN_IN)
     done, open_rows = [], rows
     for level in range(levels):
-        placed = open_rows.groupBy(source, "__bucket").applyInArrow(settle(level == levels - 1), schema)
+        placed = open_rows.groupBy(source, "__bucket").applyInArrow(released_group(settle(level == levels - 1)), schema)
         if level < levels - 1:
             placed = cut_lineage(placed)
             between = (F.col("__p") > 0) & (F.col("__p") < 1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumeflux.llm.bloom import likely_hit
 from plumeflux.llm.components import connected_components
 from plumeflux.llm.text import distinct, mix, shingle_sets
-from plumeflux.session import PLACE, cut_lineage, with_places
+from plumeflux.session import PLACE, cut_lineage, released, released_group, with_places
 
 BLOCK_TOKENS = 4 << 20  # 32 MB of hashes
 LOAD_BITS = 26  # counters of token loads: 32 MB of levels, four bits each, at every size of the input
@@ -196,7 +196,7 @@ def set_classes(docs: DataFrame, width: int, key: str = "doc_id", text: str = "t
 
     kind = docs.schema[key].dataType.simpleString()
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(key), F.col(text), F.xxhash64(text), *keep).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, class binary, text_hash bigint{kept}")
+    return docs.select(F.col(key), F.col(text), F.xxhash64(text), *keep).mapInArrow(released(run), f"`{key}` {kind}, n_shingles bigint, class binary, text_hash bigint{kept}")
 
 
 def token_levels(docs: DataFrame, width: int, text: str = "text") -> PackedLevels:
@@ -233,9 +233,9 @@ def token_levels(docs: DataFrame, width: int, text: str = "text") -> PackedLevel
         levels = [(s[::2] | (s[1::2] << 4)).tobytes() for s in levels]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "level"])
 
-    loads = docs.select(F.col(text)).mapInArrow(count, "chunk int, load binary")
+    loads = docs.select(F.col(text)).mapInArrow(released(count), "chunk int, load binary")
     out = np.zeros((chunks, 1 << (CHUNK_BITS - 1)), np.uint8)
-    levels = cut_lineage(loads.repartition(64, "chunk").mapInArrow(total, "chunk int, level binary"))
+    levels = cut_lineage(loads.repartition(64, "chunk").mapInArrow(released(total), "chunk int, level binary"))
     for row in levels.coalesce(4).toLocalIterator():  # a quarter at a time
         out[row["chunk"]] = np.frombuffer(row["level"], np.uint8)
     return PackedLevels(out.reshape(-1))
@@ -274,7 +274,7 @@ def class_keys(docs: DataFrame, levels, width: int, percent: int, text: str = "t
         if held:
             yield from rows(keys, owners)
 
-    return docs.select(F.col(text)).mapInArrow(run, "seg bigint, c bigint, m bigint")
+    return docs.select(F.col(text)).mapInArrow(released(run), "seg bigint, c bigint, m bigint")
 
 
 def _join_blocks(width: int, percent: int):
@@ -344,7 +344,7 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     pairs = F.transform("others", lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), (F.col("block") > o).cast("int").alias("side")))
     dealt = texts.withColumn("__pair", F.explode(pairs)).select("root", "single", "__pair.i", "__pair.j", "__pair.side", "text")
     dealt = dealt.withColumn("place", F.when(F.col("single"), F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "i", "j")))
-    return dealt.groupBy("single", "place").applyInArrow(_join_blocks(width, percent), "a binary, b binary")
+    return dealt.groupBy("single", "place").applyInArrow(released_group(_join_blocks(width, percent)), "a binary, b binary")
 
 
 def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:

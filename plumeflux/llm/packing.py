@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumeflux.llm.pieces import spread, token_chunks
-from plumeflux.session import cut_lineage
+from plumeflux.session import cut_lineage, released, released_group
 
 WINDOW = 4096
 PIECES_PER_TASK = 50_000
@@ -130,7 +130,7 @@ def document_pieces(
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return docs.select(F.col(key), F.col(text)).mapInArrow(cut, schema + (", ids array<bigint>" if with_ids else ""))
+    return docs.select(F.col(key), F.col(text)).mapInArrow(released(cut), schema + (", ids array<bigint>" if with_ids else ""))
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, per_task: int = PIECES_PER_TASK) -> DataFrame:
@@ -158,7 +158,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, per_task: int = PIECES_PER_TAS
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     # repeated rows share their hash: a share of the row number keeps a third of all rows from one group
     spread_out = pieces.withColumn("__copy", copies.cast("bigint")).withColumn("__group", F.pmod(deal + F.col("__copy"), F.lit(groups)))
-    return spread_out.groupBy("__group").applyInArrow(place, f"{fields}, sequence_id bigint, offset bigint")
+    return spread_out.groupBy("__group").applyInArrow(released_group(place), f"{fields}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

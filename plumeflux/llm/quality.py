@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumeflux.llm.text import _LOWER, chunks, distinct, span_hashes, string_buffers, word_bounds
+from plumeflux.session import released
 
 SAMPLE_ROWS = 20_000
 _CLASSES = [
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             flat = pa.array([row.tobytes() for row in x], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), flat], names=["key", "y", "x"])
 
-    found = rows.select("__key", "__text", "__y").mapInArrow(measure, f"key {kind}, y double, x binary")
+    found = rows.select("__key", "__text", "__y").mapInArrow(released(measure), f"key {kind}, y double, x binary")
     # one row a key, the same whatever the order of tasks
     got = found.groupBy("key").agg(F.max("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("key")
     x = np.frombuffer(b"".join(bytes(v) for v in got["x"]), np.float32).reshape(len(got), N_FEATURES)
@@ -202,7 +203,7 @@ def score_documents(docs: DataFrame, model: BoostedTrees, text: str = "text") ->
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "quality_score", "quality_label"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[f.name for f in kept]).mapInArrow(run, schema + ", quality_score double, quality_label int")
+    return docs.select(*[f.name for f in kept]).mapInArrow(released(run), schema + ", quality_score double, quality_label int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
