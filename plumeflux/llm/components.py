@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plumeflux.session import cut_lineage
 
+EDGES_PER_FILE = 50_000
+
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) for every node of ``edges`` (columns a, b; any comparable type).
@@ -14,7 +16,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: neighbours move to the smallest node known, until the
     edges form stars; that takes about the logarithm of the longest path. Each step aggregates a minimum
     per node (combined before the shuffle) and joins it back, and each round is written to the shared
-    folder. More than ``rounds`` rounds raise an error rather than give a partial result.
+    folder, in files of about ``EDGES_PER_FILE`` edges: a file of a local folder costs its executor a
+    process (chmod), so many small ones are dear. More than ``rounds`` rounds raise an error rather than give a partial result.
     """
     now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -33,7 +36,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
+        files = -(-mark[0] // EDGES_PER_FILE)  # by the edges of the round before
+        now = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct().coalesce(files))
         after = fingerprint(now)
         if after == mark:
             break
