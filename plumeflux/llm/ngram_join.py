@@ -38,21 +38,62 @@ class PackedLevels:
         return (self.packed[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & 15
 
 
-def prefix_keys(tokens: np.ndarray, levels: np.ndarray | PackedLevels, percent: int) -> np.ndarray:
-    """Keys of the rarest tokens of a set: two linked sets share at least one.
+def pair_classes(octave: int, percent: int) -> int:
+    """Classes by hash in which prefix tokens are paired, for larger sets of 2**octave tokens or more (below the next octave).
+
+    1.5 times what a set may have beyond the shared part, which gives the fewest pairs; less than linked sets share at least.
+    """
+    size = 1 << octave
+    return min(size * (100 - percent) * 3 // 200, -(-percent * size // 100) - 1)
 
-    The global order of tokens is (level, hash). The first token that two linked sets share comes before
-    more than (100 - percent)% of neither, so it lies in the prefix of both. A token of level 0 lies in no
-    other set and gives no key. A set has keys of its size band, and of the next one if it may be linked into it.
+
+def prefixes(tokens: np.ndarray, levels: np.ndarray | PackedLevels, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(octave, classes, rarest tokens) for every octave of the larger set's size in which the set may have a link.
+
+    The global order of tokens is (level, hash). Linked sets share at least ``percent``% of the larger one; the first
+    classes + 1 shared tokens come before all other shared ones in both, so they lie in the prefixes of both,
+    and two of them lie in one class. A token of level 0 lies in no other set and is left out. A set that can be
+    linked with equal ones only has no prefix: equal sets are one class.
     """
     n = len(tokens)
-    if n == 0:
-        return tokens
+    most = 100 * n // percent
+    if (n + most) * (100 - percent) < 100 + percent:
+        return []
     level = levels[(tokens >> np.uint64(64 - LOAD_BITS)).astype(np.int64)]
-    first = np.argsort(level, kind="stable")[: n + percent * -n // 100 + 1]
-    rare = tokens[first[level[first] > 0]]
-    bands = {int(math.log(m) / band_width(percent)) for m in (n, 100 * n // percent)}
-    return np.concatenate([mix(rare + mix(np.array([b], np.uint64))) for b in bands])
+    order = np.argsort(level, kind="stable")
+    out = []
+    for octave in range(n.bit_length() - 1, most.bit_length()):
+        classes = pair_classes(octave, percent)
+        first = order[: n + percent * -max(n, 1 << octave) // 100 + classes + 1]
+        out.append((octave, classes, tokens[first[level[first] > 0]]))
+    return out
+
+
+def pair_keys(some: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of many prefixes at once, and whose prefix each is of: every two tokens of a class make a key (one token where there are no classes)."""
+    size = [len(tokens) for *_, tokens in some]
+    owner = np.repeat(np.arange(len(some)), size)
+    token = np.concatenate([tokens for *_, tokens in some])
+    salt = mix(np.array([octave for octave, *_ in some], np.uint64))
+    classes = np.array([c for _, c, _ in some], np.uint64)
+    single = classes[owner] == 0
+    keys, owners = [mix(token[single] + salt[owner[single]])], [owner[single]]
+    code = owner.astype(np.uint64) << np.uint64(32) | ((token & np.uint64(0xFFFFFFFF)) * classes[owner]) >> np.uint64(32)
+    order = np.argsort(code[~single], kind="stable")
+    token, owner, code = (v[~single][order] for v in (token, owner, code))
+    at, apart = np.arange(len(code)), 1
+    while len(at := at[: np.searchsorted(at, len(code) - apart)]):
+        at = at[code[at] == code[at + apart]]
+        keys.append(mix(token[at] + token[at + apart] + salt[owner[at]]))
+        owners.append(owner[at])
+        apart += 1
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def prefix_keys(tokens: np.ndarray, levels: np.ndarray | PackedLevels, percent: int) -> np.ndarray:
+    """Keys of a set: pairs of its rarest tokens. Two linked sets that are not equal share at least one."""
+    some = prefixes(tokens, levels, percent)
+    return pair_keys(some)[0] if some else tokens[:0]
 
 
 class PrefixTree:
@@ -244,12 +285,15 @@ def token_levels(docs: DataFrame, width: int, text: str = "text") -> PackedLevel
 def class_keys(docs: DataFrame, levels, width: int, percent: int, text: str = "text", flush: int = 1_000_000) -> DataFrame:
     """Rows (seg, c, m): prefix keys of every set; c is the first half of its class digest. ``levels`` is a broadcast.
 
-    A task ties classes that meet in ``flush`` keys to their smallest one by itself (seg null, m the smallest)
-    and sends only that one on (m null), so a key that very many sets share is small before the shuffle.
+    A task ties classes that meet in the keys of ``flush`` prefix tokens to their smallest one by itself (seg null, m the
+    smallest) and sends only that one on (m null), so a key that very many sets share is small before the shuffle.
     """
 
-    def rows(keys: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
+    def rows(held: list[tuple[int, int, np.ndarray]], owners: list[int]) -> Iterator[pa.RecordBatch]:
+        key, of = pair_keys(held)
+        if len(key) == 0:
+            return
+        key, owner = key.view(np.int64), np.array(owners, np.int64)[of]
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         lead = np.concatenate([[True], key[1:] != key[:-1]])
@@ -261,18 +305,18 @@ def class_keys(docs: DataFrame, levels, width: int, percent: int, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set[bytes] = set()
-        keys, owners, held = [], [], 0
+        held, owners, n = [], [], 0
         for batch in batches:
             for digest, tokens in _new_sets(batch, width, said):
-                own = prefix_keys(tokens, levels.value, percent)
-                keys.append(own)
-                owners.append(np.full(len(own), int.from_bytes(digest[:8], "big", signed=True), np.int64))
-                held += len(own)
-                if held > flush:
-                    yield from rows(keys, owners)
-                    keys, owners, held = [], [], 0
-        if held:
-            yield from rows(keys, owners)
+                own = prefixes(tokens, levels.value, percent)
+                held += own
+                owners += [int.from_bytes(digest[:8], "big", signed=True)] * len(own)
+                n += sum(len(rare) for *_, rare in own)
+                if n > flush:
+                    yield from rows(held, owners)
+                    held, owners, n = [], [], 0
+        if n:
+            yield from rows(held, owners)
 
     return docs.select(F.col(text)).mapInArrow(released(run), "seg bigint, c bigint, m bigint")
 
@@ -303,20 +347,19 @@ def _join_blocks(width: int, percent: int):
 def jaccard_links(docs: DataFrame, classes: DataFrame, width: int, percent: int, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Links (a, b) between classes that connect every two linked classes, by prefix-tree joins.
 
-    1. Sets that share a token of their prefixes (the rarest tokens, see ``prefix_keys``) are candidates; a
-       passage that many documents share is not rare. Each key's classes are tied to its smallest one, and
-       components of these ties are the clusters.
+    1. Sets that share two tokens of one class of their prefixes (the rarest tokens, see ``prefixes``) are candidates; a
+       passage that many documents share is not rare, and one token that sets share by chance, of which a large corpus
+       has many, ties nothing. Each key's classes are tied to its smallest one, and components of these ties are the clusters.
     2. One text of every clustered class goes to its cluster (texts move, being smaller than their sets).
        Small clusters share a task. Clusters of more than ``block_tokens`` tokens are cut by size band, and
        bands in blocks of about that many tokens; one tree is built for each pair of blocks of a band or of
        neighbouring bands, and probed. Only links that join new components leave a task.
     """
     levels = docs.sparkSession.sparkContext.broadcast(token_levels(docs, width, text))
-    keys = cut_lineage(class_keys(docs, levels, width, percent, text))
-    levels.destroy()  # the keys are a table now
-    across = keys.where("m IS NULL").select("c", F.min("c").over(Window.partitionBy("seg")).alias("m")).where("c <> m")
-    ties = across.unionByName(keys.where("m IS NOT NULL").select("c", "m")).distinct()
-    clusters = cut_lineage(connected_components(ties.select(F.col("c").alias("a"), F.col("m").alias("b"))))
+    keys = class_keys(docs, levels, width, percent, text)
+    tie = F.coalesce("m", F.min("c").over(Window.partitionBy("seg", "m")))  # keys move once and are not written
+    clusters = cut_lineage(connected_components(keys.select(F.col("c").alias("a"), tie.alias("b"))))
+    levels.destroy()
 
     half = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("bigint")
     members = classes.where(F.col("class").isNotNull()).withColumn("c", half).join(clusters, F.col("c") == F.col("node"))
